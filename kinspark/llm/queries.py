@@ -49,3 +49,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+from kinspark.llm import quality_rules  # noqa: E402
+
+
+@register("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -5,7 +5,7 @@ A null text has no words, no lines and no spans. Positions are code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,6 +52,16 @@ def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.when(F.coalesce(gate, F.lit(False)), found).otherwise(empty_spans())
 
 
+def fence(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows; filters on the named columns stay above their computation.
+
+    Catalyst moves a filter below a projection by putting the computation into the
+    filter, once for each mention. It doesn't move one below a generator."""
+    rest = [c for c in df.columns if c not in names]
+    made = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("__made"))
+    return made.select(*rest, *[F.col("__made")[c].alias(c) for c in names])
+
+
 def digest(parts: Column, sep: str = ",") -> Column:
     """Lower-case hex SHA-256 of an array of strings, joined."""
     return F.sha2(F.array_join(parts, sep), 256)
