@@ -57,3 +57,11 @@ from kinspark.llm import quality_rules  # noqa: E402
 @register("op1_quality_rules")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+from kinspark.llm import decontaminate  # noqa: E402
+
+
+@register("op3_decontaminate", decontaminate.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
