@@ -65,3 +65,11 @@ from kinspark.llm import decontaminate  # noqa: E402
 @register("op3_decontaminate", decontaminate.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+from kinspark.llm import near_dup  # noqa: E402
+
+
+@register("op4_minhash_near_dup", near_dup.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"), k=2)
