@@ -73,3 +73,11 @@ from kinspark.llm import near_dup  # noqa: E402
 @register("op4_minhash_near_dup", near_dup.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(table(spark, sf_dir, "documents"), k=2)
+
+
+from kinspark.llm import line_dedup  # noqa: E402
+
+
+@register("op2_line_dedup", line_dedup.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
