@@ -81,3 +81,11 @@ from kinspark.llm import line_dedup  # noqa: E402
 @register("op2_line_dedup", line_dedup.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+from kinspark.llm import sentencepiece_lattice  # noqa: E402
+
+
+@register("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.report(table(spark, sf_dir, "documents"))
