@@ -63,7 +63,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     marked = hits(coded, keys).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     spots = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
     marked = marked.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.size(F.array_distinct(spots)).cast("long").alias("n_hit"), F.sort_array("item_ids").alias("item_ids"))
-    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(T.ANY_CASE_WORD)).cast("long")
     base = some.select("doc_id", "fp", count.alias("n_words"))
     x = base.join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("fp").eqNullSafe(F.col("f")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))

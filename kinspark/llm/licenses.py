@@ -118,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base_places: array of (label, a, b), all places of the base phrases.
     detections: array of (label, a, b, priority, weight) left after suppression."""
     rs = rules()
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), T.NO_WORD, " ")), F.lit(" "))
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(i).alias("rank")) for i, r in enumerate(rs)])
     kind = "array<struct<label:string,a:int,b:int,priority:int,weight:double,rank:int>>"
     gate = F.col("__norm").rlike(r"(?i) (?:[a-z]*licen[cs]ed?|spdx|cc by) ")

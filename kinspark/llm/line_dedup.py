@@ -133,21 +133,27 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> D
     return x.groupBy("doc", "fp").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """docs with later copies deleted from the text; adds n_lines and n_deleted."""
-    gone = cut(copies(docs, min_words, text))
-    out = docs.drop("n_lines", "n_deleted")
-    x = out.join(small(gone), F.col("doc_id").eqNullSafe(F.col("doc")) & F.xxhash64(text).eqNullSafe(F.col("fp")), "left")
+def shorten(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """All columns of docs, later copies deleted from the text, and __lines and
+    __deleted, their counts."""
+    gone = cut(copies(docs, min_words, text).select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), F.col("gone").alias("__gone")))
+    x = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__doc")) & F.xxhash64(text).eqNullSafe(F.col("__fp")), "left")
     split = F.split(text, "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
+    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
     left = F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n")
     return x.select(
-        *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in out.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
+        *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("__lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__deleted"),
     )
 
 
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """docs with later copies deleted from the text; adds n_lines and n_deleted."""
+    x = shorten(docs.drop("n_lines", "n_deleted"), min_words, text)
+    return x.withColumnsRenamed({"__lines": "n_lines", "__deleted": "n_deleted"})
+
+
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: line counts, and the digest and length of what stays."""
     x = dedup(docs.select("doc_id", "text"), min_words)

@@ -215,6 +215,12 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     return x.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that stay, all columns as they are."""
+    whole = docs.select("text", F.struct(*docs.columns).alias("__doc"))
+    return judge(whole, learn(docs, labels)).where("kept").select("__doc.*")
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = judge(docs.select("doc_id", "text"), learn(docs, labels))
     return x.select("doc_id", "n_words", *BASE, "base_failed", "kept", "rejected_by")

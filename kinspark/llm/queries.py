@@ -89,3 +89,11 @@ from kinspark.llm import sentencepiece_lattice  # noqa: E402
 @register("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.report(table(spark, sf_dir, "documents"))
+
+
+from kinspark.llm import lm_score  # noqa: E402
+
+
+@register("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(table(spark, sf_dir, "documents"))

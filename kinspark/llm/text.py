@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words as runs of anything but ASCII white space.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
-#: Words of lower-case ASCII letters, digits and anything beyond ASCII.
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _but(keep: str) -> str:
+    """Runs of the kept ASCII characters and of anything beyond ASCII. One by one,
+    as the engine looks single characters up in a table, but tries ranges in turn."""
+    return "[^" + "".join(f"\\x{i:02X}" for i in range(128) if chr(i) not in keep) + "]+"
+
+
+#: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, and the same with capitals.
+PLAIN_WORD = _but("0123456789abcdefghijklmnopqrstuvwxyz")
+ANY_CASE_WORD = _but("0123456789abcdefghijklmnopqrstuvwxyz" + UPPER)
+NO_WORD = ANY_CASE_WORD.replace("[^", "[", 1)
 
 SPANS = "array<struct<start:int,end:int,hit:string>>"
 
