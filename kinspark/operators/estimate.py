@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kinspark.functions import vec
 from kinspark.functions.vec import STATES, lit
+from kinspark.session import cut
 
 
 def aap_newton(cells: DataFrame, start: DataFrame, rounds: int = 6) -> DataFrame:
@@ -20,6 +21,7 @@ def aap_newton(cells: DataFrame, start: DataFrame, rounds: int = 6) -> DataFrame
     for i in STATES:
         pseudo = start.select("locus").distinct().select("locus", *[lit(i == k).alias(f"p{k}") for k in STATES])
         seen = seen.unionByName(pseudo)
+    seen = cut(seen)
     het = F.col("p1") + F.col("p2")
     now = start.select("mf", "locus", vec.clamp(F.col("p"), 0.01, 0.99).alias("p"), F.lit(False).alias("still"))
     for _ in range(rounds):
@@ -33,7 +35,7 @@ def aap_newton(cells: DataFrame, start: DataFrame, rounds: int = 6) -> DataFrame
         delta = F.when((F.coalesce("u", lit(0)) == 0) | (F.coalesce("h", lit(0)) == 0), lit(0)).otherwise(-F.col("u") / F.nullif("h", lit(0)))
         new = vec.clamp(F.col("p") + delta, 0.01, 0.99)
         now = y.select("mf", "locus", F.when(F.col("still"), F.col("p")).otherwise(new).alias("q"), "p", "still")
-        now = now.select("mf", "locus", F.col("q").alias("p"), (F.col("still") | (F.abs(F.col("q") - F.col("p")) < 1e-4)).alias("still"))
+        now = cut(now).select("mf", "locus", F.col("q").alias("p"), (F.col("still") | (F.abs(F.col("q") - F.col("p")) < 1e-4)).alias("still"))
     return now.select("mf", "locus", "p")
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _correlation() -> Column:
+    """Pearson's r of est and real; null where one of them is constant."""
+    varies = (F.max("est") - F.min("est") > 1e-12) & (F.max("real") - F.min("real") > 1e-12)
+    return F.when(varies, F.covar_pop("est", "real") / F.nullif(F.stddev_pop("est") * F.stddev_pop("real"), F.lit(0.0)))
+
+
 def marker_accuracy(pairs: DataFrame) -> DataFrame:
     """locus, r: correlation over individuals of est and real; none where one is constant."""
-    return pairs.groupBy("locus").agg(F.corr("est", "real").alias("r")).where("r is not null and not isnan(r)")
+    return pairs.groupBy("locus").agg(_correlation().alias("r")).where("r is not null")
 
 
 def individual_accuracy(pairs: DataFrame) -> DataFrame:
     """id, r: correlation over loci."""
-    return pairs.groupBy("id").agg(F.corr("est", "real").alias("r")).where("r is not null and not isnan(r)")
+    return pairs.groupBy("id").agg(_correlation().alias("r")).where("r is not null")
 
 
 def mean_accuracy(rows: DataFrame) -> DataFrame:
