@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: threads cost more than they give
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
