@@ -6,7 +6,7 @@ set over a circle of CIRCLE places, the second, shifted by k, gives coordinate k
 Nodes that agree on all rows of a band share a bucket.
 
 Pairs are verified on full sets, never all pairs of a bucket: first every member
-against its bucket's smallest node; then, among buckets that still hold several
+against its bucket's center; then, among buckets that still hold several
 components, members outside the largest component against all others of the
 bucket in other components. Pairs inside one component need no test, so no link
 that could join components is left out and no bucket is cut short.
@@ -124,8 +124,13 @@ def classes(docs: DataFrame, k: int = 5, least: int = LEAST) -> DataFrame:
     base = signed(docs, k)
     nodes = base.where("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"))
     rows = nodes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
-    buckets = cut(rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other").select("key", "center"))
+    buckets = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     rows = cut(rows.join(buckets, "key"))
+    # The center of a bucket is its member with the most company over all its buckets:
+    # of a group of copies, the text that the others were made from.
+    company = rows.groupBy("node").agg(F.sum("c").alias("company"))
+    centers = rows.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("center"))
+    rows = cut(rows.drop("c").join(cut(centers), "key"))
     info = base.join(small(cut(rows.select("node").distinct())), "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sk"))
     info = cut(info)
     star = rows.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
