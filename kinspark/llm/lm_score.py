@@ -34,8 +34,8 @@ from kinspark.session import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTEXT, STRIDE, WIDTH, CLASSES, FINE = 24, 18, 16, 64, 512
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_500, 60_000, 500, 512
-FREQUENT = 300_000
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_000, 30_000, 500, 512
+FREQUENT = 120_000
 #: The end of a text, no word: it holds a blank.
 END = b" "
 
@@ -165,16 +165,18 @@ def forward(w: dict, x: np.ndarray) -> tuple:
     late = h[:, CONTEXT - STRIDE :]
     s = q[:, CONTEXT - STRIDE :] @ k.transpose(0, 2, 1)
     s += _CAUSAL
-    pad = x == FINE + 1
-    if pad.any():
-        s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
+    padded = np.flatnonzero((x[:, 0] == FINE + 1) | (x[:, -1] == FINE + 1))
+    if len(padded):
+        s[padded] += np.where(x[padded] == FINE + 1, np.float32(-1e9), np.float32(0))[:, None, :]
     s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
     o = a @ v
     z = late + (o.reshape(-1, WIDTH) @ w["out"]).reshape(o.shape)
     r = np.maximum(z, 0)
-    logits = np.concatenate([z, r], axis=2).reshape(-1, 2 * WIDTH) @ w["class"] + w["bias"]
+    logits = z.reshape(-1, WIDTH) @ w["class"][:WIDTH]
+    logits += r.reshape(-1, WIDTH) @ w["class"][WIDTH:]
+    logits += w["bias"]
     return logits, (h, q, k, v, a, o, z, r)
 
 
@@ -239,7 +241,7 @@ def train(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, seed: int = 5) ->
     return Model(w, cls, fine, within_class(counts, cls))
 
 
-def log10_probability(model: Model, ids: np.ndarray, at: np.ndarray, step: int = 4096) -> np.ndarray:
+def log10_probability(model: Model, ids: np.ndarray, at: np.ndarray, step: int = 256) -> np.ndarray:
     """One value per text; so many windows at a time bound the memory."""
     x, y, doc = windows(ids, at, model.fine)
     out = np.zeros(len(at) - 1)
@@ -248,10 +250,15 @@ def log10_probability(model: Model, ids: np.ndarray, at: np.ndarray, step: int =
         logits, _ = forward(model.weights, x[a : a + step])
         by = y[a : a + step].ravel()
         live = np.flatnonzero(by >= 0)
-        logits -= logits.max(axis=1, keepdims=True)
-        total = np.log(np.exp(logits).sum(axis=1))
-        got = logits[live, target[by[live]]] - total[live]
-        np.add.at(out, np.repeat(doc[a : a + step], STRIDE)[live], got * 0.4342944819032518 + model.within[ids[by[live]]])
+        if np.abs(logits).max(initial=0) > 60:  # else no exponential leaves 32-bit floats
+            logits -= logits.max(axis=1, keepdims=True)
+        chosen = logits[live, target[by[live]]]
+        total = np.log(np.exp(logits, out=logits).sum(axis=1))
+        got = chosen - total[live]
+        of = np.repeat(doc[a : a + step], STRIDE)[live]
+        low = of[0] if len(of) else 0
+        part = np.bincount(of - low, got * 0.4342944819032518 + model.within[ids[by[live]]])
+        out[low : low + len(part)] += part
     return out
 
 
@@ -337,9 +344,12 @@ def report(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     spm = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
     by_id = id_counts(counts, proto)
     share = min(1.0, 2 * TRAIN_DOCS / max(1, total["docs"]))
-    texts = [split(r["text"]) for r in training.select("text").sample(share, seed=3).limit(TRAIN_DOCS).collect()]
-    model = train(*_encode(spm, texts), by_id)
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    texts = training.select("text").sample(share, seed=3).limit(TRAIN_DOCS).toArrow()
+    model = train(*_encode(spm, [split(x.as_py()) for x in texts.column("text")]), by_id)
+    del texts
+    got = counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    top = list(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True))
+    del got
     floor = total["n"] + 0.5 * (total["v"] + 1)
     logs = np.log10((np.array([c for _, c in top] + [total["docs"]], float) + 0.5) / floor)
     ids = _ids(spm, [w for w, _ in top] + [END], spm.get_piece_size())
