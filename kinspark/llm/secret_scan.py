@@ -61,13 +61,25 @@ def _plain_log10() -> Column:
     return F.create_map(*pairs)
 
 
-def _stats(token: Column) -> Column:
-    """Encoding, the battery's sum and the e-value's log10 of a token."""
-    body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    name = F.coalesce(*[F.when(body.rlike(p), F.lit(n)) if p else F.lit(n) for n, p, _ in ENCODINGS])
-    alphabet = F.coalesce(*[F.when(name == n, F.lit(a)) for n, _, a in ENCODINGS])
-    chars = F.filter(F.split(F.when(name == "hex", F.lower(body)).otherwise(body), ""), lambda c: c != "")
-    return F.struct(token.alias("token"), name.alias("encoding"), F.length(alphabet).alias("k"), F.transform(chars, lambda c: F.instr(alphabet, c) - 1).alias("codes"), F.filter(F.split(body, ""), lambda c: c != "").alias("chars"))
+def _with(xs: Column, keep: list[str], **fields) -> Column:
+    """Structs of xs with fields added. A step of its own: what a lambda of the next
+    step reads is then a value, not an expression to be evaluated for every symbol."""
+    return F.transform(xs, lambda x: F.struct(*[x[c].alias(c) for c in keep], *[f(x).alias(c) for c, f in fields.items()]))
+
+
+def _coded(tokens: Column) -> Column:
+    """Spans with the token's encoding, alphabet size, symbol codes and their mean."""
+    body = lambda x: F.translate(F.regexp_replace(x["hit"], "=+$", ""), "-_", "+/")
+    name = lambda x: F.coalesce(*[F.when(x["body"].rlike(p), F.lit(n)) if p else F.lit(n) for n, p, _ in ENCODINGS])
+    alphabet = lambda x: F.coalesce(*[F.when(x["encoding"] == n, F.lit(a)) for n, _, a in ENCODINGS])
+    chars = lambda x: F.filter(F.split(F.when(x["encoding"] == "hex", F.lower(x["body"])).otherwise(x["body"]), ""), lambda c: c != "")
+    codes = lambda x: F.transform(x["folded"], lambda c: F.instr(x["alphabet"], c) - 1)
+    out = _with(tokens, keep=["start", "end"], body=body)
+    out = _with(out, keep=["start", "end", "body"], encoding=name)
+    out = _with(out, keep=["start", "end", "body", "encoding"], alphabet=alphabet, folded=chars, chars=lambda x: F.filter(F.split(x["body"], ""), lambda c: c != ""))
+    out = _with(out, keep=["start", "end", "encoding", "chars"], k=lambda x: F.length(x["alphabet"]), codes=codes)
+    mean = lambda x: F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c) / F.size(x["codes"])
+    return _with(out, keep=["start", "end", "encoding", "chars", "k", "codes"], mean=mean)
 
 
 def _chi_z(x: Column) -> Column:
@@ -94,7 +106,7 @@ def _runs_z(x: Column) -> Column:
 def _serial_z(x: Column) -> Column:
     """Deviate of the lag-one correlation of symbol codes."""
     n = F.size(x["codes"]).cast("double")
-    mean = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c) / n
+    mean = x["mean"]
     var = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
     steps = F.zip_with(F.slice(x["codes"], F.lit(1), F.size(x["codes"]) - 1), F.slice(x["codes"], F.lit(2), F.size(x["codes"]) - 1), lambda a, b: (a - mean) * (b - mean))
     r = F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / F.when(var > 0, var)
@@ -118,13 +130,12 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     tokens = T.spans(t, TOKEN, t.rlike(r"[A-Za-z0-9+/_-]{20}"))
     plain = _plain_log10()
 
-    def measured(x):
-        s = x["s"]
+    def measured(s):
         sum_sq = F.pow(F.greatest(_chi_z(s), F.lit(0.0)), 2) + F.pow(_runs_z(s), 2) + F.pow(_serial_z(s), 2)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), s["encoding"].alias("encoding"), sum_sq.alias("deviation"), F.least(F.floor(_log_e(s, plain)), F.lit(TOP_BIN)).cast("int").alias("magnitude"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), sum_sq.alias("deviation"), F.least(F.floor(_log_e(s, plain)), F.lit(TOP_BIN)).cast("int").alias("magnitude"))
 
     listed = docs.withColumn("base", base).withColumn("__tokens", tokens)
-    coded = F.transform("__tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _stats(x["hit"]).alias("s")))
+    coded = _coded(F.col("__tokens"))
     return listed.withColumn("__tokens", coded).withColumn("tokens", F.transform("__tokens", measured)).drop("__tokens")
 
 
