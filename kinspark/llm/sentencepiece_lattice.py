@@ -41,7 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = f" *[^ \n{MARK}]+| +|\n|{MARK}"
 #: Words with precomputed ids, and documents of the sample that proposes them.
-DICTIONARY, SAMPLE = 600_000, 20_000
+DICTIONARY, SAMPLE = 300_000, 20_000
+SLICE = 256  # rows that a Python worker holds at once beside its input batch
 
 
 @dataclass(frozen=True)
@@ -79,34 +80,33 @@ def load(model: str = MODEL) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    return spark.createDataFrame([(p, [i], s) for p, i, s in v.pieces], "piece string, ids array<int>, score float")
+    return spark.createDataFrame(list(v.pieces), "piece string, id int, score float")
 
 
 def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     """word, ids for a DataFrame of distinct words, spread by word: the lattice.
 
     Grouping by word needs no further shuffle."""
+    plain = F.when(F.col("word") != MARK, F.translate("word", " ", MARK))  # the mark itself has no piece
     subs = f"""flatten(transform(sequence(0, length(word) - 1), i -> transform(sequence(1, least({v.longest}, length(word) - i)),
-        n -> struct(i as a, i + n as b, translate(substr(word, i + 1, n), ' ', '{MARK}') as piece))))"""
-    edges = words.where("length(word) > 0").select("word", F.explode(F.expr(subs)).alias("e"))
-    edges = edges.select("word", "e.a", "e.b", F.when(F.col("word") != MARK, F.col("e.piece")).alias("piece"))
+        n -> struct(i as a, i + n as b, substr(plain, i + 1, n) as piece))))"""
+    edges = words.where("length(word) > 0").select("word", plain.alias("plain")).select("word", F.explode(F.expr(subs)).alias("e"))
+    edges = edges.select("word", "e.a", "e.b", "e.piece")
     edges = edges.join(F.broadcast(piece_table(words.sparkSession, v)), "piece", "left")  # as many rows as the vocabulary
-    table = "array(" + ",".join(map(str, v.bytes_)) + ")"
-    spelled = f"transform(sequence(0, octet_length(substr(word, b, 1)) - 1), j -> element_at({table}, cast(conv(substr(hex(encode(substr(word, b, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + 1))"
-    edges = edges.where("ids is not null or b = a + 1").select(
-        "word",
-        F.struct("b", "a", F.coalesce("score", F.lit(v.unknown).cast("float")).alias("score"), F.coalesce("ids", F.expr(spelled)).alias("ids")).alias("e"),
-    )
+    edges = edges.where("id is not null or b = a + 1").select("word", F.struct("b", "a", F.coalesce("score", F.lit(v.unknown).cast("float")).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")).alias("e"))
     lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    node = "struct<total:float,a:int,ids:array<int>>"
+    node = "struct<total:float,a:int,id:int>"
+    before = "if(e.a = 0, float(0), if(e.b > s.b and e.a = e.b - 1, s.top.total, get(s.done, e.a - 1).total))"
     fold = f"""aggregate(es, cast(named_struct('b', 1, 'top', null, 'done', array()) as struct<b:int,top:{node},done:array<{node}>>),
         (s, e) -> named_struct('b', e.b,
-            'top', if(e.b = s.b and s.top.total >= float(if(e.a = 0, float(0), get(s.done, e.a - 1).total) + e.score), s.top,
-                      cast(named_struct('total', float(if(e.a = 0, float(0), if(e.b > s.b and e.a = e.b - 1, s.top.total, get(s.done, e.a - 1).total)) + e.score), 'a', e.a, 'ids', e.ids) as {node})),
+            'top', if(e.b = s.b and s.top.total >= float({before} + e.score), s.top, cast(named_struct('total', float({before} + e.score), 'a', e.a, 'id', e.id) as {node})),
             'done', if(e.b > s.b, array_append(s.done, s.top), s.done)),
         s -> array_append(s.done, s.top))"""
-    walk = """aggregate(sequence(size(best), 1, -1), cast(named_struct('at', size(best), 'out', array()) as struct<at:int,out:array<array<int>>>),
-        (s, p) -> if(p = s.at, named_struct('at', get(best, p - 1).a, 'out', array_append(s.out, get(best, p - 1).ids)), s),
+    table = "array(" + ",".join(map(str, v.bytes_)) + ")"
+    char = "substr(word, p, 1)"
+    spelled = f"transform(sequence(0, octet_length({char}) - 1), j -> element_at({table}, cast(conv(substr(hex(encode({char}, 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + 1))"
+    walk = f"""aggregate(sequence(size(best), 1, -1), cast(named_struct('at', size(best), 'out', array()) as struct<at:int,out:array<array<int>>>),
+        (s, p) -> if(p = s.at, named_struct('at', get(best, p - 1).a, 'out', array_append(s.out, if(get(best, p - 1).id < 0, {spelled}, array(get(best, p - 1).id)))), s),
         s -> flatten(reverse(s.out)))"""
     return lattice.select("word", F.expr(fold).alias("best")).select("word", F.expr(walk).alias("ids"))
 
@@ -132,7 +132,8 @@ def _missing(known, text_at: str):
         for b in batches:
             ids, prints, words = [], [], []
             table = known.value
-            for doc, fp, text in zip(b.column("doc_id"), b.column("fp").to_pylist(), b.column(text_at).to_pylist()):
+            for doc, fp, text in zip(b.column("doc_id"), b.column("fp").to_pylist(), b.column(text_at), strict=True):
+                text = text.as_py()
                 if text:
                     new = {w for w in find(" " + text) if w not in table}
                     ids += [doc] * len(new)
@@ -143,29 +144,41 @@ def _missing(known, text_at: str):
     return run
 
 
-def _assemble(known, text_at: str, keep: list[str]):
+def _assemble(known, text_at: str, keep: list[str], raw=None):
+    """Ids per text, and with raw the text that they decode to; some rows at a time."""
     find = re.compile(CHUNK).findall
 
+    def part(b, table):
+        out, sizes, back = [], [], []
+        for text, extra in zip(b.column(text_at), b.column("__extra"), strict=True):
+            text = text.as_py()
+            got = b""
+            if text:
+                own = {x["word"]: np.array(x["ids"], np.int32).tobytes() for x in extra.as_py() or ()}
+                got = b"".join([table.get(w) or own[w] for w in find(" " + text)])
+            out.append(got)
+            sizes.append(len(got) // 4)
+            if raw is not None:
+                back.append(_text(raw, np.frombuffer(got, np.int32)))
+        at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(out), np.int32)))
+        more = [pa.array(back, pa.string())] if raw is not None else []
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, *more], names=[*keep, "ids", *["decoded"] * len(more)])
+
     def run(batches):
         for b in batches:
-            table, out, sizes = known.value, [], []
-            for text, extra in zip(b.column(text_at).to_pylist(), b.column("__extra").to_pylist()):
-                if not text:
-                    sizes.append(0)
-                    continue
-                own = {x["word"]: np.array(x["ids"], np.int32).tobytes() for x in extra or ()}
-                got = b"".join([table.get(w) or own[w] for w in find(" " + text)])
-                out.append(got)
-                sizes.append(len(got) // 4)
-            flat = pa.array(np.frombuffer(b"".join(out), np.int32))
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.ListArray.from_arrays(at, flat)], names=[*keep, "ids"])
+            for i in range(0, len(b), SLICE):
+                yield part(b.slice(i, SLICE), known.value)
 
     return run
 
 
-def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text") -> DataFrame:
-    """docs with ids, an array of piece ids per text."""
+def _text(raw, ids: np.ndarray) -> str:
+    return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
+    """docs with ids, an array of piece ids per text; decoded: also the text they give back."""
     v = v or load()
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(dictionary(docs.select(text), v, text))
@@ -174,10 +187,11 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text") ->
     rare = cut(some.mapInArrow(_missing(known, text), f"doc_id {kind}, fp bigint, word string"))
     coded = encode_words(rare.select("word").distinct(), v)
     extra = rare.join(coded, "word").groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.collect_list(F.struct("word", "ids")).alias("__extra"))
-    keep = [c for c in docs.columns if c != "ids"]
+    keep = [c for c in docs.columns if c != "ids" and not (decoded and c == "decoded")]
     x = docs.select(*keep).join(extra, F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64(text).eqNullSafe(F.col("__f")), "left").drop("__d", "__f")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in keep)
-    return x.mapInArrow(_assemble(known, text, keep), f"{kinds}, ids array<int>")
+    raw = v.raw if decoded else None
+    return x.mapInArrow(_assemble(known, text, keep, raw), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> DataFrame:
@@ -187,7 +201,9 @@ def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> D
 
     def run(batches):
         for b in batches:
-            out = [b"".join([raw[i] for i in x or ()])[1:].decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
+            lists = b.column(ids)
+            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            out = [_text(raw, flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in coded.dtypes)
@@ -197,5 +213,5 @@ def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> D
 def report(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     """One row per document: piece count, digest of the ids, exactness of decoding."""
     v = v or load()
-    x = decode(encode(docs.select("doc_id", "text"), v), v)
+    x = encode(docs.select("doc_id", "text"), v, decoded=True)
     return x.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
