@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from kinspark.functions import vec
 from kinspark.functions.vec import STATES, cols, lit
-from kinspark.operators import estimate, likelihood, linkage, metrics, peeling
+from kinspark.operators import blocks, estimate, likelihood, linkage, metrics, peeling
 from kinspark.operators import pedigree as P
 from kinspark.plans import oracles as O
 from kinspark.plans import testbed as B
@@ -423,21 +423,17 @@ def peel_up_one_gen(spark, d):
 
 @query("single_locus_2cycles", O.CYCLES)
 def single_locus_2cycles(spark, d):
-    state, fams, kids, messages = _parts(spark, d)
-    run = peeling.Peeling(B.pedigree(spark, d).select("id", "gen"), fams, kids, state, messages, MODEL)
-    for _ in range(2):
-        run.cycle()
-    x = likelihood.genotype_probability(run.state())
+    rows = first_state(spark, d).join(B.pedigree(spark, d).select("id", "gen", "sire", "dam"), "id")
+    x = blocks.single_locus(rows, 2)
     return rounded(x.select("id", "locus", vec.dosage(cols("x")).alias("dosage")), "id", "locus")
 
 
-@query("multi_locus_1cycle")
-def multi_locus_1cycle(spark, d):
+@query("multi_locus_down_one_gen")
+def multi_locus_down_one_gen(spark, d):
     state, fams, kids, messages = _parts(spark, d)
-    run = peeling.Peeling(B.pedigree(spark, d).select("id", "gen"), fams, kids, state, messages, MODEL, linkage.transmission_rates(_map(spark)))
-    run.cycle()
-    x = run.state().join(likelihood.genotype_probability(run.state()).drop("sex"), ["id", "locus"])
-    return rounded(x.select("id", "locus", vec.dosage(cols("x")).alias("dosage"), *cols("s")), "id", "locus")
+    fams = fams.where("gen = 1")
+    kids = kids.join(fams.select("fam"), "fam", "left_semi")
+    return rounded(peeling.peel_down(fams, kids, state, messages, MODEL, linkage.transmission_rates(_map(spark))), "child", "locus")
 
 
 @query("x_chr_transmission", O.X_TENSOR)
