@@ -75,7 +75,7 @@ def phenotype_penetrance(pheno: DataFrame, probs: DataFrame, states: int) -> Dat
 
 
 def haldane(share):
-    """Map distance of a recombination share."""
+    """Map distance of a recombination share; null from one half on."""
     return -F.ln(1 - 2 * share) / 2
 
 

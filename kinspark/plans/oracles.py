@@ -166,7 +166,7 @@ z AS (SELECT * FROM x JOIN y USING (sire, dam, locus, k)) SELECT sire, dam, locu
 TENSOR = f"WITH {_seg(2)}, {TENSOR_} SELECT id, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d WHERE seg = 1 GROUP BY id, a, b, t.k"
 KID = f"""{BOTH}, {TENSOR_}, sraw AS (SELECT id, s AS seg, k, ((id + s * (k + 1)) % 4 + 1)::DOUBLE AS v FROM ped, unnest(range(1, 8)) t(s), k4), seg AS MATERIALIZED (SELECT id, seg, k, v / sum(v) OVER (PARTITION BY id, seg) AS v FROM sraw),
 vv AS MATERIALIZED (SELECT id, locus, k, {MIX4.format(x='v')} AS v FROM pen WHERE id IN (SELECT id FROM ped WHERE NOT is_founder)),
-sk AS MATERIALIZED (SELECT id, seg AS locus, a, b, t.k, sum(w * v) AS v FROM seg JOIN ten t ON t.d = seg.k WHERE id IN (SELECT id FROM ped WHERE NOT is_founder) GROUP BY ALL)"""
+sk AS MATERIALIZED (SELECT id, seg::INT AS locus, a, b, t.k, sum(w * v) AS v FROM seg JOIN ten t ON t.d = seg.k WHERE id IN (SELECT id FROM ped WHERE NOT is_founder) GROUP BY ALL)"""
 TO_PARENTS = f"WITH {KID} SELECT id AS child, locus, (4 * a + b)::INT AS ab, round(sum(sk.v * vv.v), 6) AS p FROM sk JOIN vv USING (id, locus, k) GROUP BY id, locus, a, b"
 TO_CHILD = f"WITH {KID}, x AS (SELECT id AS child, locus, k, sum(v * (4 * a + b + 1) / 136.0::DOUBLE) AS v FROM sk GROUP BY ALL) {wide('x', 'child, locus', 'a')}"
 POINT = f"""WITH {KID}, nt AS (SELECT a, b, k, sum(w) / 4 AS n FROM ten GROUP BY ALL),
@@ -301,4 +301,4 @@ MISMATCH = f"WITH {WITH} SELECT count(*) FILTER (id % 10 NOT IN (1, 2) AND g <>
 DISTANCE = f"""WITH {_seg(1)}, p AS (SELECT id, seg, sum(v) FILTER (k >= 2) AS p FROM seg WHERE seg IN (1, 3, 4, 7) GROUP BY ALL),
 i AS (SELECT *, 1 + p * log2(p) + (1 - p) * log2(1 - p) AS h, lead(p) OVER w AS q, lead(seg) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY seg)),
 j AS (SELECT a.seg AS "left", a.nxt AS "right", a.h * b.h AS w, a.p * (1 - b.p) + (1 - a.p) * b.p AS x FROM i a JOIN i b ON b.id = a.id AND b.seg = a.nxt)
-SELECT "left"::INT AS "left", "right"::INT AS "right", round(-ln(1 - 2 * sum(w * x) / sum(w)) / 2, 6) AS distance FROM j GROUP BY 1, 2"""
+SELECT "left"::INT AS "left", "right"::INT AS "right", CASE WHEN sum(w * x) / sum(w) < 0.5 THEN round(-ln(1 - 2 * sum(w * x) / sum(w)) / 2, 6) END AS distance FROM j GROUP BY 1, 2"""
