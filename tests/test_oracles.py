@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"single_locus_2cycles", "aap_newton", "peel_down_one_gen", "peel_up_one_gen"}
+SLOW = {"aap_newton", "peel_down_one_gen", "peel_up_one_gen"}
 
 
 @pytest.fixture(scope="module")
