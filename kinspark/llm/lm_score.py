@@ -8,8 +8,12 @@ scores its last STRIDE positions, so every id is scored once, with at least
 CONTEXT - STRIDE positions before it, where the text has so many.
 
 Learned from training documents only, those whose crc32(doc_id as text) mod 5 is
-not 1: word counts and id counts over all of them; the attention weights on at
-most TRAIN_DOCS of them, TRAIN_WINDOWS windows (documented bounds).
+not 1: word counts, id counts and attention weights, over all of them. The weights
+start from a first fit on the driver (TRAIN_DOCS documents chosen by hash,
+TRAIN_WINDOWS windows: where the pass begins, not what it sees). Then every window
+of every training document is learned once: each task goes on from the first fit
+over its own documents, and the tasks' weights are averaged by their windows.
+The average depends on how the rows lie in partitions, not on the tasks' order.
 
 The base score needs the count of every token. The FREQUENT most frequent words
 travel to the workers; what is left of a document, its rarer words, is joined to
@@ -34,7 +38,9 @@ from kinspark.session import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTEXT, STRIDE, WIDTH, CLASSES, FINE = 24, 18, 16, 64, 512
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_000, 30_000, 500, 512
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_500, 60_000, 500, 512
+#: The step of the pass over all documents; weights are summed as whole multiples of 1 / FIXED.
+RATE, FIXED = 0.004, 1 << 24
 FREQUENT = 120_000
 #: The end of a text, no word: it holds a blank.
 END = b" "
@@ -206,13 +212,35 @@ def backward(w: dict, x: np.ndarray, kept: tuple, g: np.ndarray) -> dict:
     dh = (dqkv @ w["qkv"].T).reshape(h.shape)
     dh[:, CONTEXT - STRIDE :] += dz
     d["place"] = dh.sum(axis=0)
-    d["embed"] = np.zeros_like(w["embed"])
-    np.add.at(d["embed"], x.ravel(), dh.reshape(-1, WIDTH))
+    spot = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    d["embed"] = np.bincount(spot, dh.ravel(), w["embed"].size).reshape(w["embed"].shape).astype(np.float32)
     return d
 
 
+class Adam:
+    """Steps on weights in place."""
+
+    def __init__(self, w: dict):
+        self.w, self.step = w, 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def learn(self, x: np.ndarray, y: np.ndarray, target: np.ndarray, rate: float) -> None:
+        """One step on windows x that predict classes target[y], where y is no -1."""
+        w, by = self.w, y.ravel()
+        self.step += 1
+        logits, kept = forward(w, x)
+        live = by >= 0
+        g = np.exp(log_softmax(logits))
+        g[np.flatnonzero(live), target[by[live]]] -= 1
+        g *= (live / max(1, live.sum()))[:, None].astype(np.float32)
+        for k, d in backward(w, x, kept, g).items():
+            self.m1[k] = 0.9 * self.m1[k] + 0.1 * d
+            self.m2[k] = 0.98 * self.m2[k] + 0.02 * d * d
+            w[k] = (w[k] - rate * (self.m1[k] / (1 - 0.9**self.step)) / (np.sqrt(self.m2[k] / (1 - 0.98**self.step)) + 1e-8)).astype(np.float32)
+
+
 def train(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, seed: int = 5) -> Model:
-    """Adam on windows of the sample; deterministic for given ids."""
+    """The first fit: Adam on windows of the sample; deterministic for given ids."""
     cls = classes(counts, CLASSES, CLASSES - 12)
     fine = classes(counts, FINE, FINE - 64)
     draw = np.random.default_rng(seed)
@@ -223,21 +251,10 @@ def train(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, seed: int = 5) ->
     if len(x) > TRAIN_WINDOWS:
         some = draw.choice(len(x), TRAIN_WINDOWS, replace=False)
         x, y = x[some], y[some]
-    m1 = {k: np.zeros_like(v) for k, v in w.items()}
-    m2 = {k: np.zeros_like(v) for k, v in w.items()}
+    fit, target = Adam(w), cls[ids]
     for step in range(1, STEPS + 1 if len(x) else 1):
         pick = draw.integers(0, len(x), BATCH)
-        bx, by = x[pick], y[pick].ravel()
-        logits, kept = forward(w, bx)
-        live = by >= 0
-        g = np.exp(log_softmax(logits))
-        g[np.flatnonzero(live), cls[ids[by[live]]]] -= 1
-        g *= (live / max(1, live.sum()))[:, None].astype(np.float32)
-        rate = 0.01 * min(1, step / 20) * (1 - 0.95 * step / STEPS)
-        for k, d in backward(w, bx, kept, g).items():
-            m1[k] = 0.9 * m1[k] + 0.1 * d
-            m2[k] = 0.98 * m2[k] + 0.02 * d * d
-            w[k] = (w[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+        fit.learn(x[pick], y[pick], target, 0.01 * min(1, step / 20) * (1 - 0.95 * step / STEPS))
     return Model(w, cls, fine, within_class(counts, cls))
 
 
@@ -281,51 +298,97 @@ def _gather(ids, at, lists, end):
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _score(shared):
+def _encoded(batches, shared):
+    """Some texts at a time, by length: the batch, the first row's number and the words
+    of each; each word's place in the table, those beyond it being rare; ids and where texts begin."""
+    import sentencepiece
+
+    proto, table, logs, begin, flat, _ = shared.value
+    spm = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    end, known = spm.get_piece_size(), len(logs) - 1  # the last entry is the end
+    for b in batches:
+        texts = b.column("text")
+        a = 0
+        while a < len(texts):
+            rows, size = [], 0
+            while a + len(rows) < len(texts) and (not rows or size < 400_000):
+                rows.append(split(texts[a + len(rows)].as_py()))
+                size += len(rows[-1])
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            spot = np.fromiter((table.get(w, -1) for ws in rows for w in ws), np.int64, int(n.sum()))
+            rare = np.flatnonzero(spot < 0)
+            every = [w for ws in rows for w in ws] if len(rare) else []
+            left = [every[i] for i in rare]
+            new = list(dict.fromkeys(left))
+            more = _ids(spm, new, end)
+            local = {w: known + 1 + i for i, w in enumerate(new)}
+            spot[rare] = [local[w] for w in left]
+            # ids of every word, the end after each text
+            whole = np.insert(spot, np.cumsum(n), known)
+            sizes = np.concatenate([np.diff(begin), [len(x) for x in more]]).astype(np.int64)
+            pool = np.concatenate([flat, np.fromiter((i for x in more for i in x), np.int32)])
+            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            each = sizes[whole]
+            ids = pool[np.repeat(starts[whole] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            at = upto[np.concatenate([[0], np.cumsum(n + 1)])]
+            yield b, a, n, spot, rare, left, ids, at
+            a += len(rows)
+
+
+def _learn(shared, first):
+    """Goes on from the first fit over all windows of the task's texts: rows of
+    (place, sum), the weights times the number of windows; place -1 is that number."""
+
     def run(batches):
-        import sentencepiece
+        model = first.value
+        fit = Adam({k: v.copy() for k, v in model.weights.items()})
+        draw, seen = np.random.default_rng(11), 0
+        for _, _, _, _, _, _, ids, at in _encoded(batches, shared):
+            x, y, _ = windows(ids, at, model.fine)
+            order, target = draw.permutation(len(x)), model.cls[ids]
+            for part in np.array_split(order, -(-len(order) // BATCH)):
+                fit.learn(x[part], y[part], target, RATE * min(1, (fit.step + 1) / 20) / (1 + fit.step / 50) ** 0.5)
+            seen += len(x)
+        if seen:
+            flat = np.concatenate([v.ravel() for v in fit.w.values()])
+            sums = np.rint(flat.astype(np.float64) * FIXED).astype(np.int64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(sums)), pa.int32()), pa.array(np.concatenate([[seen], sums]))], names=["place", "sum"])
 
-        proto, model, table, logs, begin, flat, unknown = shared.value
-        spm = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        end, known = spm.get_piece_size(), len(logs) - 1  # the last entry is the end
-        for b in batches:
-            docs, prints = b.column("doc_id"), b.column("fp")
-            texts = b.column("text")
-            a = 0
-            while a < len(texts):
-                rows, size = [], 0  # some texts at a time, by length
-                while a + len(rows) < len(texts) and (not rows or size < 400_000):
-                    rows.append(split(texts[a + len(rows)].as_py()))
-                    size += len(rows[-1])
-                n = np.fromiter(map(len, rows), np.int64, len(rows))
-                spot = np.fromiter((table.get(w, -1) for ws in rows for w in ws), np.int64, int(n.sum()))
-                doc = np.repeat(np.arange(len(rows)), n)
-                rare = np.flatnonzero(spot < 0)
-                every = [w for ws in rows for w in ws] if len(rare) else []
-                left = [every[i] for i in rare]
-                new = list(dict.fromkeys(left))
-                more = _ids(spm, new, end)
-                local = {w: known + 1 + i for i, w in enumerate(new)}
-                spot[rare] = [local[w] for w in left]
-                # ids of every word, the end after each text
-                whole = np.insert(spot, np.cumsum(n), known)
-                sizes = np.concatenate([np.diff(begin), [len(x) for x in more]]).astype(np.int64)
-                pool = np.concatenate([flat, np.fromiter((i for x in more for i in x), np.int32)])
-                starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-                each = sizes[whole]
-                ids = pool[np.repeat(starts[whole] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-                upto = np.concatenate([[0], np.cumsum(each)])
-                at = upto[np.concatenate([[0], np.cumsum(n + 1)])]
-                common = spot <= known
-                base = np.bincount(doc[common], logs[spot[common]], len(rows)) + logs[known]
-                seen = np.bincount(doc[common], minlength=len(rows)) + (logs[known] > unknown)
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(rows)))]).astype(np.int32)
-                part = slice(a, a + len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [docs[part], prints[part], pa.array(n + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(log10_probability(model, ids, at)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(left, pa.binary()))],
-                    names=["doc_id", "fp", "n_tokens", "n_common", "base_common", "score", "rare"],
-                )
-                a += len(rows)
+    return run
+
+
+def learn_all(training: DataFrame, shared, model: Model) -> tuple[Model, int]:
+    """The model after every window of every training document, and how many those are."""
+    first = training.sparkSession.sparkContext.broadcast(model)
+    got = training.select("text").mapInArrow(_learn(shared, first), "place int, sum bigint")
+    sums = {r["place"]: int(r["sum"]) for r in got.groupBy("place").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).collect()}  # as many rows as weights
+    if not sums:
+        return model, 0
+    seen = sums[-1]
+    flat = np.array([sums[i] / seen / FIXED for i in range(len(sums) - 1)], np.float32)
+    w, a = {}, 0
+    for k, v in model.weights.items():
+        w[k] = flat[a : a + v.size].reshape(v.shape)
+        a += v.size
+    return Model(w, model.cls, model.fine, model.within), seen
+
+
+def _score(shared, fitted):
+    def run(batches):
+        _, _, logs, _, _, unknown = shared.value
+        model, known = fitted.value, len(logs) - 1
+        for b, a, n, spot, rare, left, ids, at in _encoded(batches, shared):
+            doc = np.repeat(np.arange(len(n)), n)
+            common = spot <= known
+            base = np.bincount(doc[common], logs[spot[common]], len(n)) + logs[known]
+            seen = np.bincount(doc[common], minlength=len(n)) + (logs[known] > unknown)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(n)))]).astype(np.int32)
+            part = slice(a, a + len(n))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id")[part], b.column("fp")[part], pa.array(n + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(log10_probability(model, ids, at)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(left, pa.binary()))],
+                names=["doc_id", "fp", "n_tokens", "n_common", "base_common", "score", "rare"],
+            )
 
     return run
 
@@ -343,8 +406,9 @@ def report(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
         proto = spark.sparkContext.broadcast(f.read())
     spm = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
     by_id = id_counts(counts, proto)
-    share = min(1.0, 2 * TRAIN_DOCS / max(1, total["docs"]))
-    texts = training.select("text").sample(share, seed=3).limit(TRAIN_DOCS).toArrow()
+    chosen = F.shiftrightunsigned(F.xxhash64("fp", F.lit(3)), 1)
+    most = min(2**63 - 1, 2 * TRAIN_DOCS * 2**63 // max(1, total["docs"]))
+    texts = training.where(chosen <= F.lit(most)).orderBy(chosen, "fp").limit(TRAIN_DOCS).select("text").toArrow()
     model = train(*_encode(spm, [split(x.as_py()) for x in texts.column("text")]), by_id)
     del texts
     got = counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
@@ -356,9 +420,11 @@ def report(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     begin = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
     flat = np.array([i for x in ids for i in x], np.int32)
     unknown = float(np.log10(0.5 / floor))
-    shared = spark.sparkContext.broadcast((proto.value, model, {w: i for i, (w, _) in enumerate(top)}, logs, begin, flat, unknown))
+    shared = spark.sparkContext.broadcast((proto.value, {w: i for i, (w, _) in enumerate(top)}, logs, begin, flat, unknown))
+    model, _ = learn_all(training, shared, model)
+    fitted = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
-    x = cut(some.mapInArrow(_score(shared), f"doc_id {kind}, fp bigint, n_tokens bigint, n_common bigint, base_common double, score double, rare array<binary>"))
+    x = cut(some.mapInArrow(_score(shared, fitted), f"doc_id {kind}, fp bigint, n_tokens bigint, n_common bigint, base_common double, score double, rare array<binary>"))
     rare = x.select("doc_id", "fp", F.explode("rare").alias("word")).groupBy("doc_id", "fp", "word").agg(F.count("*").alias("k"))
     copies = x.groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
     logp = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))

@@ -244,6 +244,22 @@ def test_lm(spark):
         assert r["score"] < 0
 
 
+def test_lm_learns_every_window_of_every_training_document(spark, monkeypatch):
+    import sentencepiece
+
+    spm = sentencepiece.SentencePieceProcessor(model_file=lm_score.MODEL)
+    rows = [(i, " ".join(words(200, i, 50))) for i in range(60)]
+    monkeypatch.setattr(lm_score, "TRAIN_DOCS", 2)
+    monkeypatch.setattr(lm_score, "TRAIN_WINDOWS", 10)
+    learn, seen = lm_score.learn_all, []
+    monkeypatch.setattr(lm_score, "learn_all", lambda t, s, m: seen.append((m, *learn(t, s, m))) or seen[-1][1:])
+    lm_score.report(docs(spark, rows)).collect()
+    ids = [1 + sum(map(len, spm.encode(t.split()))) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    (first, model, n), = seen
+    assert n == sum(-(-k // lm_score.STRIDE) for k in ids) > 100
+    assert all((first.weights[k] != model.weights[k]).any() for k in first.weights)
+
+
 def test_windows_score_each_id_once():
     at = np.array([0, 5, 5, 70])
     x, y, doc = lm_score.windows(np.arange(70), at, np.zeros(100, np.int32))
