@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over normalised words.
 
 Each rule is a regular expression over the text's words joined by single spaces,
-gated by a keyword that every match contains. Rules come from a grid of license
+gated by a keyword that every match contains and by nothing else. Rules come from a grid of license
 names and phrasings. Where detections overlap, the one of higher priority (then
 the longer, then the earlier rule) suppresses those whose interval it contains.
 
@@ -73,6 +73,9 @@ PHRASES = (
     (r"licen[cs]e {name}", 0.7, 4),
 )
 
+#: Keywords that stand as words of their own in every match, and inside many other words.
+WHOLE = ("mit", "cc", "isc")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -85,10 +88,11 @@ class Rule:
 
 def rules() -> list[Rule]:
     """Base phrases first, then every name in every phrasing: more than two hundred rules."""
-    made = [Rule(label, phrase.split(" ")[0] if label == "cc-by-nc" else label.split("-")[0], phrase, 10, 1.0) for phrase, label in BASE]
+    whole = lambda k: f" {k} " if k in WHOLE else k
+    made = [Rule(label, whole(label.split("-")[0]), phrase, 10, 1.0) for phrase, label in BASE]
     for label, keyword, name in NAMES:
         for phrase, weight, priority in PHRASES:
-            made.append(Rule(label, keyword, phrase.replace("{name}", name), priority, weight))
+            made.append(Rule(label, whole(keyword), phrase.replace("{name}", name), priority, weight))
     return made
 
 
@@ -121,7 +125,6 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), T.NO_WORD, " ")), F.lit(" "))
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(i).alias("rank")) for i, r in enumerate(rs)])
     kind = "array<struct<label:string,a:int,b:int,priority:int,weight:double,rank:int>>"
-    gate = F.col("__norm").rlike(r"(?i) (?:[a-z]*licen[cs]ed?|spdx|cc by) ")
     low = T.ascii_lower(F.col("__norm"))
 
     def found(r):
@@ -134,9 +137,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return inside & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (wider | tie)))
 
     out = docs.drop("__norm", "__low", "__all").withColumn("__norm", norm)
-    out = out.withColumn("__low", F.when(gate, low))
+    out = out.withColumn("__low", low)
     gated = F.filter(table, lambda r: F.contains(F.col("__low"), r["keyword"]))
-    out = out.withColumn("__all", F.when(F.col("__low").isNotNull(), F.flatten(F.transform(gated, found))).otherwise(F.array().cast(kind)))
+    out = out.withColumn("__all", F.coalesce(F.flatten(F.transform(gated, found)), F.array().cast(kind)))
     base = F.filter(F.col("__all"), lambda x: x["rank"] < len(BASE))
     kept = F.filter(F.col("__all"), lambda x: ~F.exists(F.col("__all"), lambda y: beaten(x, y)))
     return out.withColumns({

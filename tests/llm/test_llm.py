@@ -225,6 +225,12 @@ def test_licenses(spark):
     assert got[22]["labels"] == "apache-2" and len(licenses.rules()) > 200
 
 
+def test_licenses_without_the_word_license(spark):
+    want = {1: ("Distributed under Apache 2.0", "apache-2"), 2: ("It is released under CC0 1.0.", "cc0"), 3: ("available under the BSD 3-Clause", "bsd-3-clause"), 4: ("provided under the PostgreSQL", "postgresql"), 5: ("published under MIT", "mit"), 6: ("submit discs", "")}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(docs(spark, [(i, t) for i, (t, _) in want.items()])).collect()}
+    assert got == {i: (label, 1.0 if label else 0.0) for i, (_, label) in want.items()}
+
+
 # ---- 6
 
 
