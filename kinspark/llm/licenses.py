@@ -1,8 +1,10 @@
 """License scans: ordered signature rules over normalised words.
 
 Each rule is a regular expression over the text's words joined by single spaces,
-gated by a keyword that every match contains and by nothing else. Rules come from a grid of license
-names and phrasings. Where detections overlap, the one of higher priority (then
+gated by a keyword that every match contains; texts with none of the phrases that
+every match needs one of (HEADS, or a sentence's keyword) skip the rules. Rules come from a
+grid of license names and phrasings, which covers SPDX ids, from acronyms that tell
+a license wherever they stand, and from sentences of the licenses' own texts. Where detections overlap, the one of higher priority (then
 the longer, then the earlier rule) suppresses those whose interval it contains.
 
 Defined results: a null text counts as empty; texts without words have no
@@ -72,10 +74,70 @@ PHRASES = (
     (r"{name} (?:public )?licen[cs]e(?: agreement)?(?: version [0-9]+(?: [0-9]+)?)?", 0.8, 5),
     (r"licen[cs]e {name}", 0.7, 4),
 )
+_VERSION = r"(?: licen[cs]e)? ?(?:version |v ?)?"
+_LATER = r"(?: only| or (?:any )?later(?: version)?)?"
+
+#: Acronyms and SPDX ids, in every phrasing as the names are.
+ACRONYMS = (
+    ("gpl-1", "gpl", rf"(?:gnu )?gpl{_VERSION}1(?: 0)?{_LATER}"),
+    ("gpl-2", "gpl", rf"(?:gnu )?gpl{_VERSION}2(?: 0)?{_LATER}"),
+    ("gpl-3", "gpl", rf"(?:gnu )?gpl{_VERSION}3(?: 0)?{_LATER}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_VERSION}2 1{_LATER}"),
+    ("lgpl-2", "lgpl", rf"(?:gnu )?lgpl{_VERSION}2(?: 0)?{_LATER}"),
+    ("lgpl-3", "lgpl", rf"(?:gnu )?lgpl{_VERSION}3(?: 0)?{_LATER}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl-3", "agpl", rf"(?:gnu )?agpl{_VERSION}3(?: 0)?{_LATER}"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("mpl-1.1", " mpl", rf"mpl{_VERSION}1 1"),
+    ("mpl-2", " mpl", rf"mpl{_VERSION}2(?: 0)?(?: no copyleft exception)?"),
+    ("mpl", " mpl", r"mpl"),
+    ("epl-1", " epl", rf"epl{_VERSION}1(?: 0)?"),
+    ("epl-2", " epl", rf"epl{_VERSION}2(?: 0)?"),
+    ("epl", " epl", r"epl"),
+    ("boost-1", " bsl", rf"bsl{_VERSION}1 0"),
+    ("eupl", "eupl", rf"eupl(?:{_VERSION}1 [0-2])?"),
+    ("ofl-1.1", " ofl", rf"(?:sil )?ofl(?:{_VERSION}1 [01])?"),
+    ("python-2", " psf", r"psf(?: 2 0)?"),
+    ("python-2", "python", r"python 2 0"),
+    ("bsd-0-clause", "0bsd", r"0bsd"),
+)
+
+#: Of these, what tells a license without any phrase around it: those with a version, and GNU's.
+ALONE = ("gpl-1", "gpl-2", "gpl-3", "gpl", "lgpl-2", "lgpl-2.1", "lgpl-3", "lgpl", "agpl-3", "agpl", "mpl-1.1", "mpl-2", "epl-1", "epl-2")
+
+_EITHER = r"(?: as)? published by the free software foundation(?: either)?"
+
+#: Label, keyword and a sentence of the license's own text or notice.
+SENTENCES = (
+    ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?"),
+    ("boost-1", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl-1.1", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse or promote products", r"neither the names? of (?:[^ ]+ ){1,20}?(?:nor the names of (?:its|their|other|any) contributors )?may be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "permission to use copy modify and", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "without a written agreement", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("zlib", "without any express or implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("apache-2", "you may not use this file except in compliance", r"you may not use this file except in compliance with the license you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache-2", "each contributor hereby grants to you", r"grant of (?:copyright|patent) license subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("mpl-2", "source code form is subject", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("epl-2", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?|version )?2 0"),
+    ("epl-1", "accompanying materials are made available", r"(?:this program and the|all rights reserved this program and the) accompanying materials are made available under the terms of the eclipse public license (?:v ?|version )?1 0"),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what the fuck you want", r"do what the fuck you want to(?: public license)?"),
+    ("cc0", "dedicated the work to the public domain", r"(?:has|have) dedicated the work to the public domain"),
+    *((f"{short}-{v}", "gnu", rf"under the terms of the gnu {kind}general public licen[cs]e{_EITHER} version {v}(?: 0)?(?: of the licen[cs]e)?(?: or at your option any later version)?") for short, kind in (("gpl", ""), ("lgpl", "(?:lesser|library) "), ("agpl", "affero ")) for v in (2, 3) if (short, v) != ("agpl", 2)),
+    ("lgpl-2.1", "gnu", rf"under the terms of the gnu (?:lesser|library) general public licen[cs]e{_EITHER} version 2 1(?: of the licen[cs]e)?(?: or at your option any later version)?"),
+)
 
 #: Keywords that stand as words of their own in every match, and inside many other words.
 WHOLE = ("mit", "cc", "isc")
 
+#: What every match of the grid, of the base phrases or of an acronym alone contains one
+#: of: its phrase's word license, or the second phrasing's head, or the acronym.
+HEADS = ("licens", "licenc", "cc by", "released under", "distributed under", "published under", "available under", "provided under", " gpl", " lgpl", " agpl", " mpl", " epl")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,12 +149,14 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """Base phrases first, then every name in every phrasing: more than two hundred rules."""
+    """Base phrases first, then every name and acronym in every phrasing, acronyms alone, and sentences."""
     whole = lambda k: f" {k} " if k in WHOLE else k
     made = [Rule(label, whole(label.split("-")[0]), phrase, 10, 1.0) for phrase, label in BASE]
-    for label, keyword, name in NAMES:
+    for label, keyword, name in NAMES + ACRONYMS:
         for phrase, weight, priority in PHRASES:
             made.append(Rule(label, whole(keyword), phrase.replace("{name}", name), priority, weight))
+    made += [Rule(label, whole(keyword), name, 3, 0.7) for label, keyword, name in ACRONYMS if label in ALONE]
+    made += [Rule(label, keyword, sentence, 7, 0.9) for label, keyword, sentence in SENTENCES]
     return made
 
 
@@ -138,8 +202,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     out = docs.drop("__norm", "__low", "__all").withColumn("__norm", norm)
     out = out.withColumn("__low", low)
+    some = dict.fromkeys([*HEADS, *(k for _, k, _ in SENTENCES if k != "gnu")])  # sentences with gnu hold the word license
+    gate = F.lit(False)
+    for k in some:
+        gate = gate | F.contains(F.col("__low"), F.lit(k))
     gated = F.filter(table, lambda r: F.contains(F.col("__low"), r["keyword"]))
-    out = out.withColumn("__all", F.coalesce(F.flatten(F.transform(gated, found)), F.array().cast(kind)))
+    out = out.withColumn("__all", F.when(gate, F.flatten(F.transform(gated, found))).otherwise(F.array().cast(kind)))
     base = F.filter(F.col("__all"), lambda x: x["rank"] < len(BASE))
     kept = F.filter(F.col("__all"), lambda x: ~F.exists(F.col("__all"), lambda y: beaten(x, y)))
     return out.withColumns({

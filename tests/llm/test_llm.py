@@ -231,6 +231,29 @@ def test_licenses_without_the_word_license(spark):
     assert got == {i: (label, 1.0 if label else 0.0) for i, (_, label) in want.items()}
 
 
+def test_licenses_by_acronym_and_by_their_own_text(spark):
+    want = {
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1",
+        "// SPDX-License-Identifier: AGPL-3.0": "agpl-3",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2",
+        "SPDX-License-Identifier: EPL-2.0": "epl-2",
+        "It is licensed under the GPL v3.": "gpl-3",
+        "see the GNU GPL version 2, or GPLv2": "gpl-2",
+        "code under LGPL-2.1 here": "lgpl-2.1",
+        "AGPL-3.0": "agpl-3",
+        "MPL-2.0": "mpl-2",
+        "the EPL season of 2020, sample MPL": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+        "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    }
+    got = {r["doc_id"]: r for r in licenses.report(docs(spark, list(enumerate(want)))).collect()}
+    assert {t: got[i]["labels"] for i, t in enumerate(want)} == want
+    assert all((got[i]["score"] > 0) == bool(label) for i, label in enumerate(want.values()))
+
+
 # ---- 6
 
 
