@@ -207,6 +207,13 @@ def test_pii(spark):
     assert by[21]["spans"] == "" and len(got) == len(ODD) + 2
 
 
+def test_an_iban_ends_where_its_country_says(spark):
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    rows = [(1, spaced + " The end"), (2, spaced + " BIC COBADEFF"), (3, plain + " Please"), (4, "NO93 8601 1117 947 NOK"), (5, plain + "X"), (6, plain)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs(spark, rows)).collect()}
+    assert got == {1: "iban:0:27", 2: "iban:0:27", 3: "iban:0:22", 4: "iban:0:18", 5: "", 6: "iban:0:22"}
+
+
 def test_long_runs_do_not_overflow(spark):
     rows = [(1, "1" * 50_000), (2, "a." * 40_000 + "@b" + ".c" * 40_000), (3, "1.2." * 30_000)]
     assert pii.report(docs(spark, rows)).select(F.sum("n_email"), F.sum("n_ip")).first()[:] == (1, 30_000 // 2)
