@@ -111,13 +111,19 @@ def metafounder_antijoin(spark, d):
     return a.union(mine.join(given, "mf", "left_anti").select("mf", F.lit("without frequency").alias("side")))
 
 
-@query("id_union_order", O.UNION_ORDER)
-def id_union_order(spark, d):
+@query("id_union_order_all", O.UNION_ORDER_ALL)
+def id_union_order_all(spark, d):
+    """Every place; id_union_order is its head."""
     ped = B.pedigree(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("0").alias("sire"), F.lit("0").alias("dam"), "sex")
     sup = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("line"))
     x = P.union_ids(ped, sup).withColumn("is_dummy", F.lit(False))
     x = P.output_order(x, sup.where("line % 2 = 0"))
-    return x.select("id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place")).where("place <= 200")
+    return x.select("id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
+
+
+@query("id_union_order", O.UNION_ORDER)
+def id_union_order(spark, d):
+    return id_union_order_all(spark, d).where("place <= 200")
 
 
 @query("snp_window", O.SNP_WINDOW)

@@ -48,6 +48,9 @@ UNION ALL SELECT mf, 'without frequency' FROM (SELECT mf FROM mine EXCEPT SELECT
 UNION_ORDER = f"""WITH {WITH}, u AS (SELECT id::VARCHAR AS id, NULL AS line FROM ped UNION ALL
   SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END FROM supplier)
 SELECT * FROM (SELECT id, row_number() OVER (ORDER BY line IS NULL, line, id) AS place FROM u) WHERE place <= 200"""
+UNION_ORDER_ALL = f"""WITH {WITH}, u AS (SELECT id::VARCHAR AS id, NULL AS line FROM ped UNION ALL
+  SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END FROM supplier)
+SELECT id, row_number() OVER (ORDER BY line IS NULL, line, id) AS place FROM u"""
 SNP_WINDOW = f"WITH {WITH} SELECT locus, sum(ref)::BIGINT AS ref, sum(alt)::BIGINT AS alt, count(*) FILTER (g <> 9) AS called FROM cells WHERE locus BETWEEN 2 AND 4 GROUP BY locus"
 
 PEN_GENO = f"WITH {GENO} {wide('pen', 'id, locus', 'p')}"

@@ -93,3 +93,12 @@ def test_unseen_phenotype_state_keeps_even_chances(spark):
     probs = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 0.0)], "id string, x0 double, x1 double, x2 double, x3 double")
     got = {(r["state"], r["pheno"]): r["p"] for r in estimate.phenotype_penetrance(pheno, probs, 2).collect()}
     assert got[0, 0] == 1.0 and got[3, 0] == got[3, 1] == 0.5
+
+
+def test_union_order_has_a_place_for_every_id(spark):
+    from kinspark.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{d}/customer.parquet").count() + spark.read.parquet(f"{d}/supplier.parquet").count()
+    got = catalog.QUERIES["id_union_order_all"](spark, d)
+    assert got.agg(F.count("*"), F.countDistinct("id"), F.max("place")).first()[:] == (want, want, want) and want > 200
