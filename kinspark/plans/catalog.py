@@ -346,11 +346,17 @@ def _children(spark, d):
     return peeling.child_terms(kids, state, MODEL)
 
 
-@query("child_seg_tensor", O.TENSOR)
-def child_seg_tensor(spark, d):
+@query("child_seg_tensor_all", O.TENSOR_ALL)
+def child_seg_tensor_all(spark, d):
+    """The tensor of every inheritance vector; child_seg_tensor has those at locus 1."""
     x = _seg_vectors(spark, d)
     rows = F.posexplode(F.array(*peeling.child_tensor(MODEL, cols("s")))).alias("abk", "p")
-    return rounded(x.where("seg = 1").select("id", rows), "id", "abk")
+    return rounded(x.select("id", "seg", rows), "id", "seg", "abk")
+
+
+@query("child_seg_tensor", O.TENSOR)
+def child_seg_tensor(spark, d):
+    return child_seg_tensor_all(spark, d).where("seg = 1").drop("seg")
 
 
 @query("child_to_parents", O.TO_PARENTS)

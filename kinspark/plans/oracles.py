@@ -167,6 +167,7 @@ MARGINALS = f"""WITH {FIRST}, x AS (SELECT j.sire, j.dam, j.locus, j.a AS k, sum
 y AS (SELECT j.sire, j.dam, j.locus, j.b AS k, sum(j.v * ({MIX4.format(x='s.v')})) AS w FROM j JOIN ps s ON s.sire = j.sire AND s.dam = j.dam AND s.locus = j.locus AND s.k = j.a GROUP BY ALL),
 z AS (SELECT * FROM x JOIN y USING (sire, dam, locus, k)) SELECT sire, dam, locus, {", ".join(f"round(max(v) FILTER (k = {i}), 6) AS x{i}, round(max(w) FILTER (k = {i}), 6) AS y{i}" for i in S_)} FROM z GROUP BY sire, dam, locus"""
 TENSOR = f"WITH {_seg(2)}, {TENSOR_} SELECT id, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d WHERE seg = 1 GROUP BY id, a, b, t.k"
+TENSOR_ALL = f"WITH {_seg(2)}, {TENSOR_} SELECT id, seg, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d GROUP BY id, seg, a, b, t.k"
 KID = f"""{BOTH}, {TENSOR_}, sraw AS (SELECT id, s AS seg, k, ((id + s * (k + 1)) % 4 + 1)::DOUBLE AS v FROM ped, unnest(range(1, 8)) t(s), k4), seg AS MATERIALIZED (SELECT id, seg, k, v / sum(v) OVER (PARTITION BY id, seg) AS v FROM sraw),
 vv AS MATERIALIZED (SELECT id, locus, k, {MIX4.format(x='v')} AS v FROM pen WHERE id IN (SELECT id FROM ped WHERE NOT is_founder)),
 sk AS MATERIALIZED (SELECT id, seg::INT AS locus, a, b, t.k, sum(w * v) AS v FROM seg JOIN ten t ON t.d = seg.k WHERE id IN (SELECT id FROM ped WHERE NOT is_founder) GROUP BY ALL)"""

@@ -102,3 +102,10 @@ def test_union_order_has_a_place_for_every_id(spark):
     want = spark.read.parquet(f"{d}/customer.parquet").count() + spark.read.parquet(f"{d}/supplier.parquet").count()
     got = catalog.QUERIES["id_union_order_all"](spark, d)
     assert got.agg(F.count("*"), F.countDistinct("id"), F.max("place")).first()[:] == (want, want, want) and want > 200
+
+
+def test_child_tensor_at_every_locus(spark):
+    from kinspark.plans import catalog
+
+    got = catalog.QUERIES["child_seg_tensor_all"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["seg"] for r in got.select("seg").distinct().collect()) == [1, 3, 5, 7]
