@@ -448,6 +448,15 @@ def multi_locus_down_one_gen(spark, d):
     return rounded(peeling.peel_down(fams, kids, state, messages, MODEL, linkage.transmission_rates(_map(spark))), "child", "locus")
 
 
+@query("multi_locus_1cycle")
+def multi_locus_1cycle(spark, d):
+    """A whole cycle, all generations down and up, with smoothing along the loci."""
+    state, fams, kids, messages = _parts(spark, d)
+    run = peeling.Peeling(B.pedigree(spark, d).select("id", "gen"), fams, kids, state, messages, MODEL, linkage.transmission_rates(_map(spark)))
+    run.cycle()
+    return rounded(run.state().select("id", "locus", *cols("a"), *cols("q"), *cols("s")), "id", "locus")
+
+
 @query("x_chr_transmission", O.X_TENSOR)
 def x_chr_transmission(spark, d):
     rows = [(kind, a, b, k, s, vec.tensor(kind, 1e-8)[a][b][k][s]) for kind in ("autosome", "xx", "xy") for a in STATES for b in STATES for k in STATES for s in STATES]

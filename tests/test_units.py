@@ -109,3 +109,49 @@ def test_child_tensor_at_every_locus(spark):
 
     got = catalog.QUERIES["child_seg_tensor_all"](spark, "/root/testdata/sf0.001")
     assert sorted(r["seg"] for r in got.select("seg").distinct().collect()) == [1, 3, 5, 7]
+
+
+def test_multi_locus_cycle_equals_enumeration(spark, monkeypatch):
+    """A trio and a child's child over seven loci."""
+    from kinspark.plans import catalog
+
+    ped = spark.createDataFrame([(1, 0, 0, True, None, None), (2, 0, 1, True, None, None), (3, 0, 1, True, None, None), (4, 1, 0, False, 1, 2), (5, 2, 1, False, 4, 3)], "id long, gen int, sex int, is_founder boolean, sire long, dam long")
+    p = np.random.default_rng(8).dirichlet(np.ones(4), (6, 8))
+    rows = [(i, at, 0 if i in (1, 4) else 1, *[0.25] * 4, *[float(v) for v in p[i, at]], *[0.25] * 8) for i in range(1, 6) for at in range(1, 8)]
+    names = ", ".join(f"{x}{i} double" for x in "apqs" for i in range(4))
+    state = spark.createDataFrame(rows, f"id long, locus int, sex int, {names}")
+    monkeypatch.setattr(catalog.B, "pedigree", lambda *_: ped)
+    monkeypatch.setattr(catalog, "first_state", lambda *_: state)
+    got = {(r["id"], r["locus"]): r for r in catalog.QUERIES["multi_locus_1cycle"](spark, "").collect()}
+    rates = [r["rate"] for r in linkage.transmission_rates(catalog._map(spark)).orderBy("locus").collect()]
+    rates = [r for r in rates if r is not None][:6]
+    t = np.zeros((4, 4, 4, 4))
+    for a, b, d in itertools.product(range(4), repeat=3):
+        t[a, b, 2 * (a // 2 if d < 2 else a % 2) + (b // 2 if d % 2 == 0 else b % 2), d] = 1
+    t = t * (1 - 1e-8) + 1e-8 / 4  # what only a mutation explains says nothing of the inheritance
+    mean = t.mean(axis=3, keepdims=True)
+    vec_of = lambda i, x, at: np.array([got[i, at][f"{x}{k}"] for k in range(4)])
+
+    def smoothed(e):
+        """Sums over all paths, by their first and last halves at each locus."""
+        paths = np.array(list(itertools.product(range(4), repeat=7)))
+        w = np.prod([e[i][paths[:, i]] for i in range(7)], axis=0)
+        for i, r in enumerate(rates):
+            flips = np.array([bin(k).count("1") for k in range(4)])[paths[:, i] ^ paths[:, i + 1]]
+            w = w * np.array([(1 - r) ** 2, r * (1 - r), r * r])[flips]
+        return np.array([np.bincount(paths[:, i], w, 4) / w.sum() for i in range(7)])
+
+    e4 = [np.einsum("a,b,k,abkd->d", p[1, at], p[2, at], p[4, at], t / mean) for at in range(1, 8)]
+    a4 = [np.einsum("a,b,abk->k", p[1, at], p[2, at], t.mean(axis=3)) for at in range(1, 8)]
+    x4 = [a * p[4, at] / (a * p[4, at]).sum() for at, a in enumerate(a4, 1)]
+    e5 = [np.einsum("a,b,k,abkd->d", x4[at - 1], p[3, at], p[5, at], t / mean) for at in range(1, 8)]
+    s4, s5 = smoothed(e4), smoothed(e5)
+    for at in range(1, 8):
+        assert np.allclose(vec_of(4, "a", at), a4[at - 1], atol=1e-4)
+        assert np.allclose(vec_of(4, "s", at), s4[at - 1], atol=1e-4)
+        assert np.allclose(vec_of(5, "s", at), s5[at - 1], atol=1e-4)
+        q4 = np.einsum("b,k,abkd,d->a", p[3, at], p[5, at], t, s5[at - 1])
+        q4 /= q4.sum()
+        assert np.allclose(vec_of(4, "q", at), q4, atol=1e-4)
+        q1 = np.einsum("b,k,abkd,d->a", p[2, at], p[4, at] * q4, t, s4[at - 1])
+        assert np.allclose(vec_of(1, "q", at), q1 / q1.sum(), atol=1e-4)
