@@ -1,16 +1,23 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts fall into chunks that no piece crosses: spaces and the word they lead, or a
-line break. Chunks are words of the lattice: their substrings of at most the
-longest piece's length are exploded and equi-joined to the piece table (broadcast;
-a vocabulary is bounded), edges are grouped by word, and a higher-order aggregate
-folds them into the best path (Viterbi), summing piece scores in 32-bit floats as
-the library does. A character without a piece becomes its UTF-8 bytes.
-
-Where the words go: a dictionary of at most DICTIONARY encoded words, those most
-frequent in a bounded sample, is broadcast, and documents look their words up; it
-saves work and never changes a result. Words outside it take the same lattice,
-once each, and are joined back to their documents.
+Texts fall into chunks that no piece crosses: spaces and the run of characters that
+they lead, or a line break. Two characters belong to one run if a chain of pieces
+holds them side by side (so letters part from punctuation); a character that no
+piece holds beside another stands alone.
+
+Every distinct chunk, called a word here, is encoded once. Its substrings of at most
+the longest piece's length are exploded and equi-joined to the piece table
+(broadcast; a vocabulary is bounded), edges are grouped by word, and a higher-order
+aggregate folds them into the best path (Viterbi). Scores are multiples of 2^-20 and
+their sums exact integers. A character without a piece becomes its UTF-8 bytes.
+Words are cut into parts ahead of the explosion, rows carry a digest in place of a
+word longer than LONG, and the folds' state is small, so that long words take hardly
+more than their share.
+
+Where the ids go: words and ids are a table in the shared folder. The most frequent
+of them, by their counts in all documents and as many as BYTES hold, are broadcast as
+packed arrays. Only if others are left are documents searched for those; they then
+meet their ids by a join, which shuffles texts once. That changes no result.
 
 Scores: of a unigram model, as in the file. A merge-rank (BPE) file has no log
 probabilities; there a piece of rank r scores -ln(r + 2), Zipf's law. The result
@@ -20,29 +27,35 @@ Decoding joins pieces and bytes and drops the leading space. Literal U+2581 in a
 text is encoded as bytes, so decoding gives the text back exactly.
 
 Defined results: null and empty texts have no ids and decode to the empty string;
-repeated rows give repeated results; ties go to the piece that starts first;
-further columns are kept unless they bear the name of an output.
+repeated rows give repeated results; of equal paths the one whose last pieces are
+longer wins; an empty table gives an empty table; a text of any length is encoded
+whole; further columns are kept unless they bear the name of an output (ids, decoded).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.session import cut
+from kinspark.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = f" *[^ \n{MARK}]+| +|\n|{MARK}"
-#: Words with precomputed ids, and documents of the sample that proposes them.
-DICTIONARY, SAMPLE = 300_000, 20_000
-SLICE = 256  # rows that a Python worker holds at once beside its input batch
+#: Scores count in these units.
+UNIT = 1 << 20
+#: Words beyond so many characters go by their digest; characters of a part.
+LONG, PART = 64, 64
+#: Bytes of the broadcast words with their ids.
+BYTES = 96 << 20
+SLICE = 1_500_000  # characters that a Python worker holds at once, or one text
 
 
 @dataclass(frozen=True)
@@ -52,6 +65,7 @@ class Vocabulary:
     unknown: float
     longest: int
     raw: tuple[bytes, ...]  # by id, what a piece decodes to
+    chunk: str  # regular expression of the chunks
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -76,99 +90,239 @@ def load(model: str = MODEL) -> Vocabulary:
         raw[i] = p.replace(MARK, " ").encode()
     for v, i in byte_ids.items():
         raw[i] = bytes([v])
-    return Vocabulary(pieces, tuple(byte_ids[v] for v in range(256)), float(np.float32(min(scores.values()) - 10)), max(len(p) for p, _, _ in pieces), tuple(raw))
+    longest = max(len(p) for p, _, _ in pieces)
+    if longest > 31:
+        raise ValueError("pieces beyond 31 characters")
+    return Vocabulary(pieces, tuple(byte_ids[v] for v in range(256)), float(np.float32(min(scores.values()) - 10)), longest, tuple(raw), chunks(p for p, _, _ in pieces))
+
+
+def chunks(pieces) -> str:
+    """The chunks' pattern: runs within one class of characters, each led by spaces."""
+    up: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while up.setdefault(c, c) != c:
+            c = up[c]
+        return c
+
+    for p in pieces:
+        p = p.lstrip(MARK)
+        for a, b in zip(p, p[1:], strict=False):
+            up[top(a)] = top(b)
+    runs: dict[str, list[str]] = {}
+    for c in sorted(up):
+        runs.setdefault(top(c), []).append(c)
+    some = [f"[{''.join(map(re.escape, cs))}]+" for cs in sorted(runs.values(), key=len, reverse=True)]
+    return f" *(?:{'|'.join([*some, f'[^ \n{MARK}]'])})| +|\n|{MARK}"
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(list(v.pieces), "piece string, id int, score float")
+    rows = [(p, i, round(s * UNIT)) for p, i, s in v.pieces]
+    return spark.createDataFrame(rows, "piece string, id int, score bigint").withColumn("print", F.xxhash64("piece"))
+
+
+def _key(word: str) -> str:
+    """What stands for a word: itself, or a digest that no word equals, as it holds a line break."""
+    return word if len(word) <= LONG else "\n" + hashlib.sha256(word.encode()).hexdigest()
+
+
+def edges(words: DataFrame, v: Vocabulary) -> DataFrame:
+    """key, count, edge (b, n, score, id) for all pieces inside words (columns key, word, count).
+
+    The join's key is the substring's 64-bit hash, looked up much faster than
+    strings; the strings are compared besides, in a way that is no further key. A
+    character without a piece has an edge whose id is -1 less its code point."""
+    x = words.where("length(word) > 0").select("key", "count", F.translate("word", " ", MARK).alias("plain"), (F.col("word") == MARK).alias("mark"))
+    part = f"if(length(plain) <= {PART}, array(plain), regexp_extract_all(plain, '(?s)(?=(.{{1,{PART + v.longest - 1}}})).{{1,{PART}}}', 1))"
+    x = x.select("key", "count", "mark", F.posexplode(F.expr(part)).alias("k", "part"))
+    x = x.select("key", "count", "mark", "k", "part", F.explode(F.expr(f"sequence(0, least({PART}, length(part)) - 1)")).alias("i"))
+    x = x.select("key", "count", "mark", "k", "part", "i", F.explode(F.expr(f"sequence(1, least({v.longest}, length(part) - i))")).alias("n"))
+    x = x.select("key", "count", "mark", (F.col("k") * PART + F.col("i") + F.col("n")).alias("b"), "n", F.expr("substr(part, i + 1, n)").alias("sub")).withColumn("h", F.xxhash64("sub"))
+    x = x.join(F.broadcast(piece_table(words.sparkSession, v)), F.expr("h = print and sub >= piece and sub <= piece and not mark"), "left")  # as many rows as the vocabulary
+    score = F.coalesce("score", F.lit(round(v.unknown * UNIT)).cast("long"))
+    return x.where("id is not null or n = 1").select("key", "count", F.struct("b", "n", score.alias("score"), F.coalesce("id", -1 - F.ascii("sub")).alias("id")).alias("edge"))
 
 
 def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """word, ids for a DataFrame of distinct words, spread by word: the lattice.
-
-    Grouping by word needs no further shuffle."""
-    plain = F.when(F.col("word") != MARK, F.translate("word", " ", MARK))  # the mark itself has no piece
-    subs = f"""flatten(transform(sequence(0, length(word) - 1), i -> transform(sequence(1, least({v.longest}, length(word) - i)),
-        n -> struct(i as a, i + n as b, substr(plain, i + 1, n) as piece))))"""
-    edges = words.where("length(word) > 0").select("word", plain.alias("plain")).select("word", F.explode(F.expr(subs)).alias("e"))
-    edges = edges.select("word", "e.a", "e.b", "e.piece")
-    edges = edges.join(F.broadcast(piece_table(words.sparkSession, v)), "piece", "left")  # as many rows as the vocabulary
-    edges = edges.where("id is not null or b = a + 1").select("word", F.struct("b", "a", F.coalesce("score", F.lit(v.unknown).cast("float")).alias("score"), F.coalesce("id", F.lit(-1)).alias("id")).alias("e"))
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    node = "struct<total:float,a:int,id:int>"
-    before = "if(e.a = 0, float(0), if(e.b > s.b and e.a = e.b - 1, s.top.total, get(s.done, e.a - 1).total))"
-    fold = f"""aggregate(es, cast(named_struct('b', 1, 'top', null, 'done', array()) as struct<b:int,top:{node},done:array<{node}>>),
-        (s, e) -> named_struct('b', e.b,
-            'top', if(e.b = s.b and s.top.total >= float({before} + e.score), s.top, cast(named_struct('total', float({before} + e.score), 'a', e.a, 'id', e.id) as {node})),
-            'done', if(e.b > s.b, array_append(s.done, s.top), s.done)),
-        s -> array_append(s.done, s.top))"""
+    """key, count, ids for a DataFrame of distinct words (key, word, count), spread by key: the lattice.
+
+    Grouping by key needs no further shuffle. A node of the best path is 32 times its
+    total plus the length of the piece that ends there; the greatest such number is
+    the best piece, the longer one of equals. aggregate() copies its state at every
+    step: only the nodes in reach of a piece stand there, the lengths (a character
+    each, @ for 0) in a string, which is copied at memory speed."""
+    lattice = edges(words, v).groupBy("key", "count").agg(F.sort_array(F.collect_list("edge")).alias("es"))
+    reach = v.longest + 1
+    before = "if(e.b = e.n, 0L, shiftright(if(e.b - e.n = s.b, s.top, get(s.last, size(s.last) - s.b + e.b - e.n)), 5))"
+    new = f"({before} + e.score) * 32 + e.n"
+    fold = f"""aggregate(es, cast(named_struct('b', 0, 'top', 0, 'last', array(), 'back', '') as struct<b:int,top:bigint,last:array<bigint>,back:string>),
+        (s, e) -> if(e.b = s.b, named_struct('b', s.b, 'top', greatest(s.top, {new}), 'last', s.last, 'back', s.back),
+            named_struct('b', e.b, 'top', {new},
+                'last', if(s.b = 0, s.last, array_append(if(size(s.last) >= {2 * reach}, slice(s.last, {reach + 1}, {reach}), s.last), s.top)),
+                'back', if(s.b = 0, '', concat(s.back, char(64 + (s.top & 31)))))),
+        s -> concat(s.back, char(64 + (s.top & 31))))"""
+    # Backwards over the ends: the piece's length where the path has one, else 0.
+    walk = """aggregate(sequence(length(back), 1, -1), struct(length(back) as at, '' as out),
+        (s, p) -> if(p = s.at, struct(p - (ascii(get(steps, p - 1)) - 64) as at, concat(s.out, get(steps, p - 1)) as out), struct(s.at as at, concat(s.out, '@') as out)),
+        s -> split(reverse(s.out), ''))"""
+    # path twice: named once, the optimiser would compute it anew for every edge.
+    on = "transform(filter(es, e -> size(path) >= e.b and ascii(get(path, e.b - 1)) = 64 + e.n), e -> e.id)"
     table = "array(" + ",".join(map(str, v.bytes_)) + ")"
-    char = "substr(word, p, 1)"
-    spelled = f"transform(sequence(0, octet_length({char}) - 1), j -> element_at({table}, cast(conv(substr(hex(encode({char}, 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + 1))"
-    walk = f"""aggregate(sequence(size(best), 1, -1), cast(named_struct('at', size(best), 'out', array()) as struct<at:int,out:array<array<int>>>),
-        (s, p) -> if(p = s.at, named_struct('at', get(best, p - 1).a, 'out', array_append(s.out, if(get(best, p - 1).id < 0, {spelled}, array(get(best, p - 1).id)))), s),
-        s -> flatten(reverse(s.out)))"""
-    return lattice.select("word", F.expr(fold).alias("best")).select("word", F.expr(walk).alias("ids"))
+    byte = lambda x: f"element_at({table}, {x} + 1)"
+    tail = lambda shift: byte(f"128 + (shiftright(-1 - i, {shift}) & 63)")
+    head = lambda first, shift: byte(f"{first} + shiftright(-1 - i, {shift})")
+    spelled = f"""case when i >= 0 then array(i) when i >= -128 then array({byte("-1 - i")})
+        when i >= -2048 then array({head(192, 6)}, {tail(0)}) when i >= -65536 then array({head(224, 12)}, {tail(6)}, {tail(0)})
+        else array({head(240, 18)}, {tail(12)}, {tail(6)}, {tail(0)}) end"""
+    x = lattice.select("key", "count", "es", F.expr(fold).alias("back")).select("key", "count", "es", "back", F.split("back", "").alias("steps")).select("key", "count", "es", F.expr(walk).alias("path")).select("key", "count", F.expr(on).alias("ids"))
+    return x.select("key", "count", F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> {spelled})), ids)").alias("ids"))
 
 
-def _chunks(docs: DataFrame, text: str) -> DataFrame:
-    t = F.concat(F.lit(" "), F.col(text))
-    return docs.where(F.length(text) > 0).select(F.explode(F.regexp_extract_all(t, F.lit(CHUNK), F.lit(0))).alias("word"))
+def _words(find, most: int = 400_000):
+    """Counts of the words of some texts at a time."""
 
+    def rows(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(map(_key, seen)), pa.string()), pa.array([w if len(w) > LONG else None for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "word", "count"])
 
-def dictionary(docs: DataFrame, v: Vocabulary, text: str, most: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, bytes]:
-    """At most so many words of a sample of documents, with ids as 32-bit integers."""
-    n = docs.count()
-    some = docs if n <= sample else docs.sample(sample / n, seed=7)
-    words = _chunks(some, text).groupBy("word").count()
-    words = words.orderBy(F.desc("count"), "word").limit(most).select("word").repartition("word")
-    return {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in encode_words(words, v).toLocalIterator()}
+    def run(batches):
+        seen: dict[str, int] = {}
+        for b in batches:
+            for text in b.column(0):
+                t = text.as_py()
+                for w in find(" " + t) if t else ():
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) > most:
+                    yield rows(seen)
+                    seen = {}
+        yield rows(seen)
 
+    return run
 
-def _missing(known, text_at: str):
-    find = re.compile(CHUNK).findall
+
+def coded_words(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """key, count, ids of every distinct word of texts' only column, in the shared folder.
+
+    Counted in the tasks already, words are spread by key once, for the counts and
+    the lattice; a fixed number of partitions, as the lattice works far more than the
+    size of the words tells."""
+    spark = texts.sparkSession
+    found = texts.mapInArrow(_words(re.compile(v.chunk).findall), "key string, word string, count bigint")
+    counts = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key", "word").agg(F.sum("count").alias("count"))
+    return stored(encode_words(counts.select("key", F.coalesce("word", "key").alias("word"), "count"), v))
+
+
+def _packed(batches):
+    for b in batches:
+        ids = b.column("ids")
+        yield pa.RecordBatch.from_arrays([pa.array([_prints(b.column("key").to_pylist()).tobytes()]), pa.array([np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes()]), pa.array([ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()].astype(np.int32).tobytes()])], names=["prints", "sizes", "ids"])
+
+
+def _prints(keys: list[str]) -> np.ndarray:
+    """64-bit hashes."""
+    return pd.util.hash_array(np.array(keys, dtype=object), categorize=False) if keys else np.zeros(0, np.uint64)
+
+
+@dataclass(frozen=True)
+class Known:
+    """Words by ascending hash, where their ids begin (and the last ones end), and ids."""
+
+    prints: np.ndarray
+    begin: np.ndarray
+    ids: np.ndarray
+    whole: bool  # nothing is left out
+
+    def find(self, prints: np.ndarray) -> np.ndarray:
+        """Places, or -1."""
+        if not len(self.prints):
+            return np.full(len(prints), -1)
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        return np.where(self.prints[at] == prints, at, -1)
+
+
+def dictionary(coded: DataFrame, v: Vocabulary, most: int) -> Known:
+    """The most frequent words, as many as so many bytes hold: all that occur at least
+    so often (by steps of an eighth of a doubling)."""
+    wide = np.uint16 if len(v.raw) <= 1 << 16 else np.int32
+    step = F.floor(F.log2("count") * 8).cast("int")
+    size = F.sum(F.size("ids") * wide().itemsize + 12)
+    bins = sorted(((r["step"], r["size"]) for r in coded.groupBy(step.alias("step")).agg(size.alias("size")).collect()), reverse=True)  # some hundred rows
+    least, held, whole = None, 0, True
+    for at, more in bins:
+        held += more
+        if held > most:
+            whole = False
+            break
+        least = at
+    if least is None:
+        return Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, wide), whole)
+    got = coded.where(step >= least).select("key", "ids").mapInArrow(_packed, "prints binary, sizes binary, ids binary").toLocalIterator()
+    parts = [(np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["ids"], np.int32).astype(wide)) for r in got]
+    prints, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.argsort(prints, kind="stable")
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    flat = ids[_ranges(begin[order], sizes[order])]
+    return Known(prints[order], np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32), flat, whole)
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin.astype(np.int64) - (ends - sizes), sizes)
+
+
+def _missing(known, chunk: str):
+    """For each document the keys of its words that aren't known."""
+    find = re.compile(chunk).findall
 
     def run(batches):
         for b in batches:
-            ids, prints, words = [], [], []
-            table = known.value
-            for doc, fp, text in zip(b.column("doc_id"), b.column("fp").to_pylist(), b.column(text_at), strict=True):
-                text = text.as_py()
-                if text:
-                    new = {w for w in find(" " + text) if w not in table}
-                    ids += [doc] * len(new)
-                    prints += [fp] * len(new)
-                    words += new
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], b.column("doc_id").type), pa.array(prints, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "fp", "word"])
+            keys = []
+            for text in b.column(2):
+                t = text.as_py()
+                own = list(dict.fromkeys(map(_key, find(" " + t)))) if t else []
+                at = known.value.find(_prints(own))
+                keys.append([own[i] for i in np.flatnonzero(at < 0)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "print", "keys"])
 
     return run
 
 
-def _assemble(known, text_at: str, keep: list[str], raw=None):
-    """Ids per text, and with raw the text that they decode to; some rows at a time."""
-    find = re.compile(CHUNK).findall
-
-    def part(b, table):
-        out, sizes, back = [], [], []
-        for text, extra in zip(b.column(text_at), b.column("__extra"), strict=True):
-            text = text.as_py()
-            got = b""
-            if text:
-                own = {x["word"]: np.array(x["ids"], np.int32).tobytes() for x in extra.as_py() or ()}
-                got = b"".join([table.get(w) or own[w] for w in find(" " + text)])
-            out.append(got)
-            sizes.append(len(got) // 4)
-            if raw is not None:
-                back.append(_text(raw, np.frombuffer(got, np.int32)))
-        at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(out), np.int32)))
-        more = [pa.array(back, pa.string())] if raw is not None else []
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, *more], names=[*keep, "ids", *["decoded"] * len(more)])
+def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
+    """Ids per text, and with raw the text that they decode to; some texts at a time."""
+    find = re.compile(chunk).findall
+
+    def part(b, texts, table):
+        lists = [find(" " + t) if t else [] for t in texts]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+        del lists
+        keys = list(map(_key, words))
+        at = table.find(_prints(keys))
+        begin, sizes, pool = table.begin[at].astype(np.int64), (table.begin[at + 1] - table.begin[at]).astype(np.int64) if len(table.prints) else np.zeros(len(at), np.int64), table.ids
+        lost = np.flatnonzero(at < 0)
+        if len(lost):
+            own = {x["key"]: x["ids"] for extra in b.column("__extra") for x in extra.as_py() or ()}
+            more = [own[keys[i]] for i in lost]
+            sizes[lost] = [len(x) for x in more]
+            begin[lost] = len(pool) + np.cumsum(sizes[lost]) - sizes[lost]
+            pool = np.concatenate([pool, np.array([i for x in more for i in x], pool.dtype)])
+        each = sizes[codes]
+        ids = pool[_ranges(begin[codes], each)].astype(np.int32)
+        upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+        out = [*[b.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(upto), pa.array(ids))]
+        if raw is not None:
+            out.append(pa.array([_text(raw, ids[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)], pa.string()))
+        return pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * (raw is not None)])
 
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), SLICE):
-                yield part(b.slice(i, SLICE), known.value)
+            size = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in b.column(text_at)), np.int64, len(b))
+            group = np.cumsum(size) // SLICE
+            cuts = [*np.flatnonzero(np.diff(group, prepend=-1)), len(b)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = b.slice(x, y - x)
+                yield part(piece, piece.column(text_at).to_pylist(), known.value)
 
     return run
 
@@ -177,26 +331,36 @@ def _text(raw, ids: np.ndarray) -> str:
     return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
-    """docs with ids, an array of piece ids per text; decoded: also the text they give back."""
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", decoded: bool = False, most: int = BYTES) -> DataFrame:
+    """docs with ids, an array of piece ids per text; decoded: also the text they give
+    back; most: bytes of the broadcast dictionary."""
     v = v or load()
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(dictionary(docs.select(text), v, text))
-    some = docs.select("doc_id", F.xxhash64(text).alias("fp"), F.col(text))
-    kind = dict(docs.dtypes)["doc_id"]
-    rare = cut(some.mapInArrow(_missing(known, text), f"doc_id {kind}, fp bigint, word string"))
-    coded = encode_words(rare.select("word").distinct(), v)
-    extra = rare.join(coded, "word").groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.collect_list(F.struct("word", "ids")).alias("__extra"))
+    coded = coded_words(docs.select(text), v)
+    words = dictionary(coded, v, most)
+    known = docs.sparkSession.sparkContext.broadcast(words)
     keep = [c for c in docs.columns if c != "ids" and not (decoded and c == "decoded")]
-    x = docs.select(*keep).join(extra, F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64(text).eqNullSafe(F.col("__f")), "left").drop("__d", "__f")
+    x = docs.select(*keep)
+    extra = "array<struct<key:string,ids:array<int>>>"
+    if words.whole:
+        x = x.withColumn("__extra", F.lit(None).cast(extra))
+    else:
+        kind = dict(docs.dtypes)["doc_id"]
+        some = docs.select("doc_id", F.xxhash64(text).alias("print"), F.col(text)).mapInArrow(_missing(known, v.chunk), f"doc_id {kind}, print bigint, keys array<string>")
+        pairs = some.select(F.col("doc_id").alias("__d"), F.col("print").alias("__p"), F.explode("keys").alias("key")).distinct()
+        found = pairs.join(coded.select("key", "ids"), "key").groupBy("__d", "__p").agg(F.collect_list(F.struct("key", "ids")).alias("__extra"))
+        x = x.withColumn("__print", F.xxhash64(text)).join(found, _same("doc_id", "__d") & _same("__print", "__p"), "left").drop("__d", "__p", "__print")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in keep)
-    raw = v.raw if decoded else None
-    return x.mapInArrow(_assemble(known, text, keep, raw), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
+    return x.mapInArrow(_assemble(known, v.chunk, text, keep, v.raw if decoded else None), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> DataFrame:
     """Adds decoded, the text of the ids."""
     raw = (v or load()).raw
+    coded = coded.drop("decoded")
     names = coded.columns
 
     def run(batches):

@@ -335,16 +335,54 @@ def library(v):
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
-def test_sentencepiece(spark, monkeypatch):
+def best_ids(word, v):
+    """The word's best path in exact sums, the longer last piece of equals."""
+    have = {p: (i, round(s * sentencepiece_lattice.UNIT)) for p, i, s in v.pieces}
+    plain, best = word.replace(" ", "▁"), [(0, 0, [])]
+    if word == "▁":
+        return [v.bytes_[x] for x in word.encode()]
+    for b in range(1, len(plain) + 1):
+        options = []
+        for n in range(1, min(v.longest, b) + 1):
+            i, s = have.get(plain[b - n : b], (None, round(v.unknown * sentencepiece_lattice.UNIT)))
+            if i is not None or n == 1:
+                options.append((best[b - n][0] + s, n, [i] if i is not None else [v.bytes_[x] for x in plain[b - 1].encode()]))
+        best.append(max(options, key=lambda x: x[:2]))
+    out, b = [], len(plain)
+    while b:
+        out = best[b][2] + out
+        b -= best[b][1]
+    return out
+
+
+def sentencepiece_ids(text, v):
+    return [i for w in re.findall(v.chunk, " " + text) for i in best_ids(w, v)] if text else []
+
+
+@pytest.mark.parametrize("most", [sentencepiece_lattice.BYTES, 60])
+def test_sentencepiece(spark, most):
+    """With all words in the dictionary, and with hardly any."""
     v = sentencepiece_lattice.load()
-    rows = ODD[:5] + [(7, ODD[8][1]), (20, "Hello  world\nfoo, the government's 12 ▁ marks 語"), (21, " lead and trail "), (22, "tab\tand\r\nreturn"), (23, "y" * 3000)]
-    monkeypatch.setattr(sentencepiece_lattice, "DICTIONARY", 5)
-    x = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs(spark, rows), v), v).collect()
-    assert len(x) == len(rows) and all(r["decoded"] == (r["text"] or "") for r in x)
-    lib = library(v)
+    rows = [*ODD, (20, "Hello  world\nfoo, the government's 12 ▁ marks 語"), (21, " lead and trail "), (22, "tab\tand\r\nreturn"), (23, "y" * 3000), (24, "\uffff ▁\uffff")]
+    clash = docs(spark, rows).withColumns({"ids": F.lit(1), "decoded": F.lit("x"), "key": F.lit(2)})
+    x = sentencepiece_lattice.decode(sentencepiece_lattice.encode(clash, v, most=most), v).collect()
+    assert len(x) == len(rows) and all(r["decoded"] == (r["text"] or "") and r["key"] == 2 for r in x)
+    lib, score = library(v), {i: s for _, i, s in v.pieces}
     for r in x:
+        assert list(r["ids"]) == sentencepiece_ids(r["text"], v)
         if r["text"] and "▁" not in r["text"]:
-            assert list(r["ids"]) == lib.encode(r["text"])
+            total = lambda ids: sum(score.get(i, 0) for i in ids)
+            want = lib.encode(r["text"])
+            assert len(want) == len(r["ids"]) and total(want) == pytest.approx(total(r["ids"]))
+    assert sentencepiece_lattice.encode(clash.limit(0), v, most=most).count() == 0
+    assert sentencepiece_lattice.report(clash.limit(0), v).count() == 0
+
+
+def test_sentencepiece_very_long_word(spark):
+    v = sentencepiece_lattice.load()
+    text = "ab" * 40_000 + "q" * 20_000
+    got = sentencepiece_lattice.encode(docs(spark, [(1, text)]), v, decoded=True).first()
+    assert got["decoded"] == text and list(got["ids"]) == sentencepiece_ids(text, v)
 
 
 # ---- 10

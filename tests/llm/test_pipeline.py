@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from test_llm import jaccard_roots, library, measured, thinned, words
+from test_llm import jaccard_roots, measured, sentencepiece_ids, thinned, words
 
 import corpus_pipeline
 from kinspark.llm import sentencepiece_lattice
@@ -37,9 +37,9 @@ def test_brute_force(spark, folder):
     wins = {tuple(item[k : k + 10]) for k in range(21)}
     plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
     left = [(i, t) for i, t in left if not wins & set(zip(*[plain(t)[k:] for k in range(10)]))]
-    lib = library(sentencepiece_lattice.load())
+    v = sentencepiece_lattice.load()
     got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, at).collect()}
-    assert got == {i: lib.encode(t) for i, t in left}
+    assert got == {i: sentencepiece_ids(t, v) for i, t in left}
     assert {20, 22, 23, 26} & set(got) == set() and 24 in got
 
 
