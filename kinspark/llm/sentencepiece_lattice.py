@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,15 +186,14 @@ def _words(find, most: int = 400_000):
         return pa.RecordBatch.from_arrays([pa.array(list(map(_key, seen)), pa.string()), pa.array([w if len(w) > LONG else None for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "word", "count"])
 
     def run(batches):
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         for b in batches:
             for text in b.column(0):
-                t = text.as_py()
-                for w in find(" " + t) if t else ():
-                    seen[w] = seen.get(w, 0) + 1
+                if t := text.as_py():
+                    seen.update(find(" " + t))
                 if len(seen) > most:
                     yield rows(seen)
-                    seen = {}
+                    seen = Counter()
         yield rows(seen)
 
     return run
@@ -312,7 +312,10 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
         upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
         out = [*[b.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(upto), pa.array(ids))]
         if raw is not None:
-            out.append(pa.array([_text(raw, ids[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)], pa.string()))
+            # Each word's ids give its text once; no character spans two words.
+            said = [_text(raw, pool[x : x + y]) for x, y in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            of, ends = codes.tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
+            out.append(pa.array(["".join([said[c] for c in of[x:y]])[1:] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
         return pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * (raw is not None)])
 
     def run(batches):
@@ -328,7 +331,7 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
 
 
 def _text(raw, ids: np.ndarray) -> str:
-    return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+    return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
 def _same(a: str, b: str) -> Column:
@@ -367,7 +370,7 @@ def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> D
         for b in batches:
             lists = b.column(ids)
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out = [_text(raw, flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            out = [_text(raw, flat[x:y])[1:] for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in coded.dtypes)
