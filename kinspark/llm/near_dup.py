@@ -6,10 +6,15 @@ set over a circle of CIRCLE places, the second, shifted by k, gives coordinate k
 Nodes that agree on all rows of a band share a bucket.
 
 Pairs are verified on full sets, never all pairs of a bucket: first every member
-against its bucket's center; then, among buckets that still hold several
-components, members outside the largest component against all others of the
-bucket in other components. Pairs inside one component need no test, so no link
-that could join components is left out and no bucket is cut short.
+against its bucket's center. Of buckets that still hold several components, each
+member has a hub, the center with the most company. Two members with one hub can be
+similar, without both being similar to the hub, only if they share one of the rarer
+shingles in which they differ from it (_shared_differences); those meet by an
+equi-join, so members that differ from their hub in ways of their own cost nothing.
+Two members with different hubs meet in their buckets: those outside the largest
+component against all others in other components. Pairs inside one component need
+no test, so no link that could join components is left out and no bucket is cut
+short.
 
 Ahead of verification a pair's sizes and sketches are compared: two bits of each
 of the 240 coordinates. A pair at the least similarity has 432 equal bits of 480 on
@@ -106,19 +111,57 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return cut(sets.mapInArrow(_sign, f"doc_id {kind}, fp bigint, node bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, base: DataFrame, k: int, least: int) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar enough; one document of each node
-    is read again for its set."""
-    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+def _sets_of(nodes: DataFrame, docs: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """node, set: one document of each node is read again for its set."""
     some = cut(base.join(small(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct())
     read = docs.select("doc_id", "text").join(small(some), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = cut(with_sets(read, k).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    return cut(with_sets(read, k).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+
+
+def _both(pairs: DataFrame, docs: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """pairs (u, v) with their full sets a and b."""
+    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    sets = _sets_of(nodes, docs, base, k)
     x = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-    x = x.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return x.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, base: DataFrame, k: int, least: int) -> DataFrame:
+    """Those pairs (u, v) whose sets are similar enough."""
+    x = _both(pairs, docs, base, k)
     x = x.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     return T.fence(x, ["both"]).where(100 * F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))).select("u", "v")
 
 
+def _shared_differences(members: DataFrame, docs: DataFrame, base: DataFrame, k: int, least: int) -> DataFrame:
+    """Pairs (x, y) with one hub that may be similar though not both are similar to it.
+
+    members: hub, node, root, n. D(z) are the shingles that only one of z and the hub
+    has, plus of them z's and minus the hub's. With s of D(x) and D(y) in common, x and
+    y are similar if and only if (100 + least) s >= w(x) + w(y) - (100 - least) |hub|,
+    where w(z) = least * plus + 100 * minus; and z is similar to the hub if and only if
+    w(z) <= (100 - least) |hub|. So a member that isn't (a far one) shares with any
+    partner y more than w(y) / (100 + least) of D(y): one of y's rarest that remain
+    when so many are left out is among them. Those rarest are joined to the far ones'
+    differences, of which the commonest are left out by the same bound."""
+    x = _both(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"), "root", "n"), docs, base, k)
+    x = x.select("u", "v", "root", "n", F.size("a").alias("core"), F.array_except("b", "a").alias("plus"), F.array_except("a", "b").alias("minus"))
+    x = x.withColumn("w", (least * F.size("plus") + 100 * F.size("minus")).cast("long")).withColumn("over", F.col("w") - (100 - least) * F.col("core"))
+    diffs = cut(x.select("u", "v", "root", "n", "w", "over", F.concat("plus", F.transform("minus", lambda t: F.bitwise_not(t))).alias("d")))
+    each = diffs.select("u", "v", F.explode("d").alias("t"))
+    common = each.groupBy("u", "t").agg(F.count("*").alias("c"))
+    ranked = each.join(common, ["u", "t"]).groupBy("u", "v").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("d"))
+    ranked = cut(ranked.join(diffs.drop("d"), ["u", "v"]))
+    full = 100 + least
+    own = F.size("d") - F.floor(F.col("w") / full)
+    far = F.size("d") - F.greatest(F.lit(1), F.ceil(F.col("over") / full)) + 1
+    rare = lambda y, n: y.where(n > 0).select("u", "v", "root", "n", F.explode(F.slice("d", F.lit(1), n.cast("int"))["t"]).alias("t"))
+    left = rare(ranked.where("over > 0"), far).select("u", "t", F.col("v").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+    right = rare(ranked, own).select("u", "t", F.col("v").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
+    apart = F.expr(f"rx <> ry and 100 * least(nx, ny) >= {least} * greatest(nx, ny)")
+    return left.join(right, (left["u"] == right["u"]) & (left["t"] == right["t"]) & apart).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
 def classes(docs: DataFrame, k: int = 5, least: int = LEAST) -> DataFrame:
     """doc_id, fp, node, n_shingles, root: root names the component (null for empty sets)."""
     base = signed(docs, k)
@@ -126,29 +169,35 @@ def classes(docs: DataFrame, k: int = 5, least: int = LEAST) -> DataFrame:
     rows = nodes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     buckets = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     rows = cut(rows.join(buckets, "key"))
+    info = base.join(small(cut(rows.select("node").distinct())), "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sk"))
     # The center of a bucket is its member with the most company over all its buckets:
     # of a group of copies, the text that the others were made from.
     company = rows.groupBy("node").agg(F.sum("c").alias("company"))
-    centers = rows.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("center"))
-    rows = cut(rows.drop("c").join(cut(centers), "key"))
-    info = base.join(small(cut(rows.select("node").distinct())), "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sk"))
-    info = cut(info)
-    star = rows.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    x = star.join(_named(info, "u"), "u").join(_named(info, "v"), "v")
-    pairs = cut(x.where(_likely(least)).select("u", "v"))
+    rows = cut(rows.drop("c").join(company.join(info, "node"), "node"))
+    centers = rows.groupBy("key").agg(F.max_by(F.struct("node", "n", "sk", "company"), F.struct("company", "node")).alias("m"))
+    centers = centers.select("key", F.col("m.node").alias("u"), F.col("m.n").alias("n_u"), F.col("m.sk").alias("sk_u"), F.col("m.company").alias("rank"))
+    star = rows.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sk").alias("sk_v")).join(centers, (rows["key"] == centers["key"]) & F.expr("u <> v") & _likely(least))
+    pairs = cut(star.select("u", "v").distinct())
     edges = cut(_verify(pairs, docs, base, k, least))
     roots = components(edges)
     # Buckets that still hold several components.
-    known = rows.select("key", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    known = rows.select("key", "node", "n", "sk").join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "sk", F.coalesce("root", "node").alias("root"))
     parts = known.groupBy("key", "root").agg(F.count("*").alias("c"))
     split = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_ = cut(known.join(split, "key").join(info, "node"))
-    left = open_.where("root <> main").select("key", *[F.col(c).alias(f"{c}_u") for c in ("n", "sk")], F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = open_.select("key", *[F.col(c).alias(f"{c}_v") for c in ("n", "sk")], F.col("node").alias("y"), F.col("root").alias("ry"), "main")
-    # Each pair of components on one side only: the larger root beside the main one, or the smaller root first.
-    apart = F.expr("rx <> ry and (ry = main or rx < ry)")
-    again = left.join(right, (left["key"] == right["key"]) & apart & _likely(least))
-    again = again.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    open_ = cut(known.join(split, "key"))
+    # Each node's hub: of its open buckets' centers the one with the most company.
+    hubs = open_.select("key", "node").join(centers.select("key", "u", "rank"), "key").groupBy("node").agg(F.max_by("u", F.struct("rank", "u")).alias("hub"))
+    open_ = cut(open_.join(hubs, "node"))
+    again = _shared_differences(open_.select("hub", "node", "root", "n").distinct(), docs, base, k, least)
+    x, y = _named(info, "u"), _named(info, "v")
+    again = again.join(x, "u").join(y, "v").where(_likely(least)).select("u", "v")
+    # Pairs with two hubs meet in their buckets. Each pair of components on one side
+    # only: the larger root beside the main one, or the smaller root first.
+    left = open_.where("root <> main").select("key", *[F.col(c).alias(f"{c}_u") for c in ("n", "sk")], F.col("node").alias("x"), F.col("root").alias("rx"), F.col("hub").alias("hx"))
+    right = open_.select("key", *[F.col(c).alias(f"{c}_v") for c in ("n", "sk")], F.col("node").alias("y"), F.col("root").alias("ry"), F.col("hub").alias("hy"), "main")
+    apart = F.expr("hx <> hy and rx <> ry and (ry = main or rx < ry)")
+    cross = left.join(right, (left["key"] == right["key"]) & apart & _likely(least))
+    again = again.union(cross.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))).distinct()
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     again = cut(again.join(tested, ["u", "v"], "left_anti"))
     if not again.isEmpty():

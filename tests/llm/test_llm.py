@@ -164,6 +164,49 @@ def test_chained_near_copies(spark):
     assert got == {i: c for i, (_, c) in jaccard_roots(rows, 2).items()}
 
 
+def family(seed, members, size=120):
+    """Copies of one text with 1 to 16 changed words each; some copy a copy, some add a tail, some share a passage only."""
+    r = random.Random(seed)
+    base = words(size, seed)
+    out = [base]
+    for i in range(members):
+        w = list(out[r.randrange(len(out))] if i % 4 == 0 else base)
+        for _ in range(r.randrange(1, 17)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**9)}"
+        if i % 5 == 0:
+            w = w[: size // 2] + words(r.randrange(1, 60), 1000 * seed + i)
+        if i % 7 == 0:
+            w += words(r.randrange(1, 30), seed + 5)
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize(("k", "seed"), [(2, 1), (5, 2)])
+def test_large_family_about_the_threshold(spark, k, seed):
+    """Most members aren't alike to the hub, and links between them are found all the same."""
+    rows = list(enumerate(t for f in range(3) for t in family(10 * seed + f, 90)))
+    want = jaccard_roots(rows, k)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.report(docs(spark, rows), k).collect()}
+    assert got == {i: root for i, (_, root) in want.items()}
+    assert 30 < len(set(got.values())) < len(rows) - 10
+
+
+def test_links_found_at_the_threshold(spark):
+    """Recall of single links: pairs just above the least similarity, each pair alone."""
+    rows, want = [], 0
+    for i in range(300):
+        w = words(200, 10_000 + i, pool=10**9)
+        v = list(w)
+        for at in range(5, 5 + 2 * 11, 2):  # 11 changed words, apart: 22 of 199 shingles of two words
+            v[at * 7] = f"n{i}x{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = ({*zip(x, x[1:], strict=False)} for x in (w, v))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.81
+        want += 1
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.report(docs(spark, rows), 2).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) == want  # a miss has a chance of 5e-6
+
+
 def test_thin_keeps_one_of_each(spark, corpus):
     rows = corpus + [(200, None), (100, corpus[0][1])]
     d = docs(spark, rows).withColumn("node", F.lit(1))
