@@ -35,6 +35,7 @@ whole; further columns are kept unless they bear the name of an output (ids, dec
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -179,6 +180,18 @@ def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     return x.select("key", "count", F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> {spelled})), ids)").alias("ids"))
 
 
+def _slices(column):
+    """Texts, so many characters at a time; nulls are empty."""
+    some, size = [], 0
+    for text in column:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size > SLICE:
+            yield some
+            some, size = [], 0
+    yield some
+
+
 def _words(find, most: int = 400_000):
     """Counts of the words of some texts at a time."""
 
@@ -186,14 +199,18 @@ def _words(find, most: int = 400_000):
         return pa.RecordBatch.from_arrays([pa.array(list(map(_key, seen)), pa.string()), pa.array([w if len(w) > LONG else None for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "word", "count"])
 
     def run(batches):
-        seen: Counter[str] = Counter()
+        seen: dict[str, int] = {}
         for b in batches:
-            for text in b.column(0):
-                if t := text.as_py():
-                    seen.update(find(" " + t))
+            for texts in _slices(b.column(0)):
+                few: Counter[str] = Counter()  # small tables are much faster to count in
+                for t in texts:
+                    if t:
+                        few.update(find(" " + t))
+                for w, n in few.items():
+                    seen[w] = seen.get(w, 0) + n
                 if len(seen) > most:
                     yield rows(seen)
-                    seen = Counter()
+                    seen = {}
         yield rows(seen)
 
     return run
@@ -208,7 +225,8 @@ def coded_words(texts: DataFrame, v: Vocabulary) -> DataFrame:
     spark = texts.sparkSession
     found = texts.mapInArrow(_words(re.compile(v.chunk).findall), "key string, word string, count bigint")
     counts = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key", "word").agg(F.sum("count").alias("count"))
-    return stored(encode_words(counts.select("key", F.coalesce("word", "key").alias("word"), "count"), v))
+    words = counts.select("key", F.coalesce("word", "key").alias("word"), "count")
+    return stored(encode_words(words.sortWithinPartitions("key"), v))  # edges then come in the order that grouping wants
 
 
 def _packed(batches):
@@ -235,8 +253,12 @@ class Known:
         """Places, or -1."""
         if not len(self.prints):
             return np.full(len(prints), -1)
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return np.where(self.prints[at] == prints, at, -1)
+        order = np.argsort(prints)  # searching in order finds its way in the processor's cache
+        low = prints[order]
+        at = np.minimum(np.searchsorted(self.prints, low), len(self.prints) - 1)
+        out = np.empty(len(prints), np.int64)
+        out[order] = np.where(self.prints[at] == low, at, -1)
+        return out
 
 
 def dictionary(coded: DataFrame, v: Vocabulary, most: int) -> Known:
@@ -313,9 +335,10 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
         out = [*[b.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(upto), pa.array(ids))]
         if raw is not None:
             # Each word's ids give its text once; no character spans two words.
-            said = [_text(raw, pool[x : x + y]) for x, y in zip(begin.tolist(), sizes.tolist(), strict=True)]
-            of, ends = codes.tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
-            out.append(pa.array(["".join([said[c] for c in of[x:y]])[1:] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+            spelled, upto = pool[_ranges(begin, sizes)].tolist(), [0, *np.cumsum(sizes).tolist()]
+            said = [b"".join([raw[i] for i in spelled[x:y]]).decode("utf-8", "replace") for x, y in itertools.pairwise(upto)]
+            of, ends = codes.tolist(), [0, *np.cumsum(n).tolist()]
+            out.append(pa.array(["".join([said[c] for c in of[x:y]])[1:] for x, y in itertools.pairwise(ends)], pa.string()))
         return pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * (raw is not None)])
 
     def run(batches):
