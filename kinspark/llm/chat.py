@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.llm import text as T
+
 
 @dataclass(frozen=True)
 class Template:
@@ -80,20 +82,18 @@ def render(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
         F.lit(t.closing + "\n").alias("tail"),
         x["role"].isin(*t.loss_roles).alias("loss"),
     ))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"]))
 
-    def step(acc, p):
-        a = acc["at"] + F.length(p["head"])
-        b = a + F.length(p["body"])
-        out = F.when(p["loss"], F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["out"])
-        return F.struct((b + F.length(p["tail"])).alias("at"), out.alias("out"))
+    def masked(p, at):
+        start = at + F.length(p["head"])
+        return F.when(p["loss"], F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
 
     return (
         turns.select("conv_id", pieces.alias("pieces"), _valid(F.col("turns"), t).alias("valid"))
         .select(
             "conv_id",
             F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-            F.aggregate("pieces", zero, step, lambda acc: acc["out"]).alias("loss"),
+            F.filter(F.zip_with("pieces", T.running(sizes), masked), lambda x: x.isNotNull()).alias("loss"),
             "valid",
         )
     )

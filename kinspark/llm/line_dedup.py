@@ -109,7 +109,7 @@ def _same_island() -> Column:
 
 def _summed(words: Column) -> Column:
     """Cumulative sums with a leading 0."""
-    return F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
+    return T.running(F.concat(words, F.array(F.lit(0))))
 
 
 def copies(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
