@@ -134,6 +134,9 @@ SENTENCES = (
 #: Keywords that stand as words of their own in every match, and inside many other words.
 WHOLE = ("mit", "cc", "isc")
 
+#: Words of a block; more than any rule's match has.
+BLOCK = 256
+
 #: What every match of the grid, of the base phrases or of an acronym alone contains one
 #: of: its phrase's word license, or the second phrasing's head, or the acronym.
 HEADS = ("licens", "licenc", "cc by", "released under", "distributed under", "published under", "available under", "provided under", " gpl", " lgpl", " agpl", " mpl", " epl")
@@ -167,17 +170,7 @@ def _spaces(x: Column) -> Column:
 def _places(norm: Column, pattern: Column) -> Column:
     """Word intervals [start, end) of all matches in ' w0 w1 ... '."""
     regex = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    gaps = F.split(norm, regex, -1)
-    hits = F.regexp_extract_all(norm, regex, F.lit(0))
-    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc, x):
-        a = acc["at"] + _spaces(x["gap"])
-        inside = _spaces(x["hit"])
-        return F.struct((a + inside).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), (a + inside + 1).alias("b")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.transform(T.matches(norm, regex, _spaces), lambda m: F.struct((m["start"] - 1).alias("a"), m["end"].alias("b")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -200,7 +193,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         tie = (y["b"] - y["a"] == x["b"] - x["a"]) & (y["rank"] < x["rank"])
         return inside & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & (wider | tie)))
 
-    out = docs.drop("__norm", "__low", "__all").withColumn("__norm", norm)
+    out = docs.drop("__norm", "__low", "__all", "__blocks").withColumn("__norm", norm)
     out = out.withColumn("__low", low)
     some = dict.fromkeys([*HEADS, *(k for _, k, _ in SENTENCES if k != "gnu")])  # sentences with gnu hold the word license
     gate = F.lit(False)
@@ -209,13 +202,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     gated = F.filter(table, lambda r: F.contains(F.col("__low"), r["keyword"]))
     out = out.withColumn("__all", F.when(gate, F.flatten(F.transform(gated, found))).otherwise(F.array().cast(kind)))
     base = F.filter(F.col("__all"), lambda x: x["rank"] < len(BASE))
-    kept = F.filter(F.col("__all"), lambda x: ~F.exists(F.col("__all"), lambda y: beaten(x, y)))
+    # Detections by blocks of words where they start; one that holds another starts in its block or the one before.
+    block = lambda x: F.floor(x["a"] / BLOCK).cast("int")
+    last = F.array_max(F.transform("__all", block))
+    blocks = F.when(F.size("__all") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.filter("__all", lambda x: block(x) == k)))
+    out = out.withColumn("__blocks", blocks)
+    within = lambda x, k: F.exists(F.get("__blocks", k), lambda y: beaten(x, y))
+    kept = F.filter(F.col("__all"), lambda x: ~(within(x, block(x)) | ((block(x) > 0) & within(x, block(x) - 1))))
     return out.withColumns({
         "n_words": F.when(F.col("__norm") == "  ", F.lit(0)).otherwise(_spaces(F.col("__norm")) - 1).cast("long"),
         "base_places": F.array_sort(F.transform(base, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["label"].alias("label")))),
         "detections": kept,
         "score": F.coalesce(F.array_max(F.transform(kept, lambda x: x["weight"])), F.lit(0.0)),
-    }).drop("__norm", "__low", "__all")
+    }).drop("__norm", "__low", "__all", "__blocks")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -50,6 +50,7 @@ CONTEXT = {
     "ssn": "ssn|social|security|taxpayer",
 }
 LIFT, REACH, LEAST = 0.2, 40, 0.5
+BLOCK = 1024  # characters
 
 
 def mod97(account: Column) -> Column:
@@ -77,16 +78,24 @@ def _confirms(kind: str):
     return lambda x: _confirmed(kind, x["hit"])
 
 
-def _scores(t: Column, rank: int, kind: str):
-    """The kind's own score, lifted where a context word stands nearby."""
+def _scores(t: Column, rank: int, kind: str, hits: Column) -> Column:
+    """The kind's spans with their own score, lifted where a context word stands
+    nearby; looked for in blocks of the text, as to find a place in a long string
+    takes as long as all that stands before it."""
 
-    def scored(x: Column) -> Column:
-        left = F.substr(t, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(F.lit(REACH), x["start"]))
-        near = F.concat(left, F.lit("\n"), F.substr(t, x["end"] + 1, F.lit(REACH)))
+    def scored(blocks: Column, x: Column) -> Column:
+        two = lambda k: F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit("")))
+        block = lambda at: F.floor(at / BLOCK).cast("int")
+        low = F.greatest(x["start"] - REACH, F.lit(0))
+        left = F.substr(two(block(low)), low - block(low) * BLOCK + 1, x["start"] - low)
+        right = F.substr(two(block(x["end"])), x["end"] - block(x["end"]) * BLOCK + 1, F.lit(REACH))
+        near = F.concat(left, F.lit("\n"), right)
         lift = F.when(near.rlike(rf"(?i)(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), F.lit(LIFT)).otherwise(F.lit(0.0))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), (F.lit(START[kind]) + lift).alias("score"))
 
-    return scored
+    cut = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    some = lambda h: T.let(cut, lambda blocks: F.transform(h, lambda x: scored(blocks, x)))
+    return T.let(hits, lambda h: F.when(F.size(h) > 0, some(h)).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,score:double>>")))
 
 
 def _gate(kind: str, text: Column) -> Column:
@@ -109,7 +118,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         hits = T.spans(t, patterns[kind], _gate(kind, t))
         if kind in ("ip", "card", "phone", "iban"):
             hits = F.filter(hits, _confirms(kind))
-        found.append(F.transform(hits, _scores(t, i, kind)))
+        found.append(_scores(t, i, kind, hits))
     every = F.filter(F.concat(*found), lambda x: x["score"] >= LEAST)
     return docs.withColumn("pii", F.array_sort(every))
 

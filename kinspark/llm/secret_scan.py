@@ -3,16 +3,24 @@
 Three fixed patterns give the base spans. Beyond them, every long token is given
 an encoding (decimal, hex, base32, base36, base64) and tested against "symbols
 drawn evenly from that alphabet": chi-squared evenness, runs about the middle of
-the alphabet, and lag-one serial correlation. Tokens that pass carry evidence
-against ordinary writing: the likelihood ratio of even symbols over letters in
-their usual frequencies, an e-value that grows with the length. The e-value form
-of the Benjamini-Hochberg rule over all candidates of the corpus bounds the share
-of false discoveries by ALPHA; its threshold comes from a histogram of the
-e-values' magnitudes, whose size does not depend on the input.
+the alphabet, and lag-one serial correlation. The tests' squared deviates add up to
+Q, of chi-squared law with three degrees under evenness, whose p-value is the
+battery's. Two false-discovery controls over all candidates of the corpus decide:
+
+* Benjamini-Hochberg over the battery's p-values finds the tokens that aren't even:
+  words, numbers in order, repeated patterns. They go.
+* A token that is left must also be no chance product of writing: the likelihood
+  ratio of even symbols over letters in their usual frequencies is an e-value that
+  grows with the length, so short tokens hardly ever reach what long ones do. The
+  e-value form of the rule bounds the share of false finds by ALPHA.
+
+Both thresholds come from one histogram of Q and of the e-values' magnitudes, whose
+size does not depend on the input.
 
 Defined results: a null text counts as empty; repeated rows give repeated results
-and count as repeated candidates; an empty table gives an empty table; further
-columns are kept unless they bear the name of an output.
+and count as repeated candidates; equal evidence is accepted or refused together;
+texts and tokens of any length are taken whole; an empty table gives an empty table;
+further columns are kept unless they bear the name of an output (base, added).
 """
 
 from __future__ import annotations
@@ -21,7 +29,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinspark.llm import text as T
 from kinspark.session import cut
@@ -37,8 +44,6 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
 ALPHA = 0.01
-#: Sum of three squared deviates that even symbols exceed once in a thousand tokens.
-BATTERY = 16.27
 #: Relative letter frequencies a to z in ordinary writing, per cent.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 #: Share of a capital's lower-case frequency, and the chance of any other symbol.
@@ -50,7 +55,8 @@ ENCODINGS = (
     ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-TOP_BIN = 300
+#: Magnitudes of e-values and steps of Q that the histogram tells apart, the last ones open; steps of Q a unit.
+TOP_BIN, TOP_Q, Q_UNIT = 300, 400, 4
 
 
 def _plain_log10() -> Column:
@@ -120,7 +126,7 @@ def _log_e(x: Column, plain: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds base (array of (start, ord, end)) and tokens (array of (start, end,
-    encoding, deviation, magnitude)) of those that pass the battery."""
+    encoding, q, magnitude)): the battery's step of Q and the e-value's magnitude."""
     t = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(T.spans(t, ASSIGN, t.rlike(r"(?i)(?:passw|secret|token|api_?key)")), lambda x: F.length(F.regexp_extract(x["hit"], VALUE, 1)) >= 12)
     access = T.spans(t, ACCESS, F.contains(t, F.lit("AKIA")))
@@ -132,33 +138,48 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def measured(s):
         sum_sq = F.pow(F.greatest(_chi_z(s), F.lit(0.0)), 2) + F.pow(_runs_z(s), 2) + F.pow(_serial_z(s), 2)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), sum_sq.alias("deviation"), F.least(F.floor(_log_e(s, plain)), F.lit(TOP_BIN)).cast("int").alias("magnitude"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), F.least(F.floor(sum_sq * Q_UNIT), F.lit(TOP_Q)).cast("int").alias("q"), F.greatest(F.least(F.floor(_log_e(s, plain)), F.lit(TOP_BIN)), F.lit(-1)).cast("int").alias("magnitude"))
 
     listed = docs.withColumn("base", base).withColumn("__tokens", tokens)
     coded = _coded(F.col("__tokens"))
     return listed.withColumn("__tokens", coded).withColumn("tokens", F.transform("__tokens", measured)).drop("__tokens")
 
 
-def threshold(found: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """One row, least: the smallest magnitude that the e-value rule accepts.
+def battery_p(q: float) -> float:
+    """Chance that even symbols give a Q so large: chi-squared, three degrees."""
+    return math.erfc(math.sqrt(q / 2)) + math.sqrt(2 * q / math.pi) * math.exp(-q / 2)
+
+
+def thresholds(bins: list[tuple[int, int, int]], alpha: float = ALPHA) -> tuple[int, int]:
+    """From (step of Q, magnitude, count): the least step that is found uneven, and the
+    least magnitude that the e-value rule accepts among the tokens below that step.
 
-    With m candidates, a magnitude b is accepted where 10^b >= m / (alpha * number
-    of passing candidates at b or above); none may be accepted."""
-    every = found.select(F.explode("tokens").alias("x"))
-    bins = every.groupBy(F.when(F.col("x.deviation") <= BATTERY, F.greatest("x.magnitude", F.lit(-1))).otherwise(F.lit(-1)).alias("b")).agg(F.count("*").alias("n"))
-    above = bins.withColumn("up", F.sum("n").over(Window.orderBy(F.desc("b")))).withColumn("m", F.sum("n").over(Window.partitionBy()))
-    good = above.where("b >= 0").where(F.col("b") + F.log10(F.col("up")) + math.log10(alpha) >= F.log10("m"))
-    return good.agg(F.coalesce(F.min("b"), F.lit(TOP_BIN + 1)).alias("least"))
+    With m candidates, a step is uneven if the chance of it and above, times m, is at
+    most alpha times the number of candidates there; a magnitude b is accepted where
+    10^b >= m / (alpha * number of tokens at b or above). Neither need exist."""
+    m = sum(n for _, _, n in bins)
+    uneven, above = TOP_Q + 1, 0
+    for step in sorted({q for q, _, _ in bins}, reverse=True):
+        above += sum(n for q, _, n in bins if q == step)
+        if m * battery_p(step / Q_UNIT) <= alpha * above:
+            uneven = step
+    least, up = TOP_BIN + 1, 0
+    for b in sorted({b for _, b, _ in bins if b >= 0}, reverse=True):
+        up += sum(n for q, x, n in bins if x == b and q < uneven)
+        if up and b + math.log10(up * alpha) >= math.log10(m):
+            least = b
+    return uneven, least
 
 
 def scan(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """Adds base and added, the method's own spans outside base spans; the texts
     are read once, what remains of them is kept in the shared folder."""
     found = cut(candidates(docs, text).drop(text))
-    least = threshold(found, alpha).scalar()
-    good = F.filter("tokens", lambda x: (x["deviation"] <= BATTERY) & (x["magnitude"] >= F.col("__least")))
+    every = found.select(F.explode("tokens").alias("x")).groupBy("x.q", "x.magnitude").agg(F.count("*").alias("n"))
+    uneven, least = thresholds([tuple(r) for r in every.collect()], alpha)  # at most TOP_Q * TOP_BIN rows
+    good = F.filter("tokens", lambda x: (x["q"] < uneven) & (x["magnitude"] >= least))
     new = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn("__least", least).withColumn("added", good).withColumn("added", new).drop("__least", "tokens")
+    return found.withColumn("added", good).withColumn("added", new).drop("tokens")
 
 
 def report(docs: DataFrame) -> DataFrame:

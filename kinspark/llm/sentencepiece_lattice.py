@@ -58,6 +58,7 @@ LONG, PART = 64, 64
 #: Bytes of the broadcast words with their ids.
 BYTES = 96 << 20
 SLICE = 1_500_000  # characters that a Python worker holds at once, or one text
+CACHE = 150_000  # words whose places a Python worker remembers
 
 
 @dataclass(frozen=True)
@@ -313,19 +314,30 @@ def _missing(known, chunk: str):
 def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
     """Ids per text, and with raw the text that they decode to; some texts at a time."""
     find = re.compile(chunk).findall
+    spell = _speller(raw) if raw is not None else None
+
+    cache: dict[str, int] = {}  # places of some words, by far the most of those that come
+
+    def places(words, table):
+        at = np.fromiter(map(cache.get, words, itertools.repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(at == -2)
+        some = [words[i] for i in new]
+        at[new] = table.find(_prints(list(map(_key, some))))
+        if len(cache) < CACHE:
+            cache.update(zip(some, at[new].tolist(), strict=True))
+        return at
 
     def part(b, texts, table):
         lists = [find(" " + t) if t else [] for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
         del lists
-        keys = list(map(_key, words))
-        at = table.find(_prints(keys))
+        at = places(words.tolist(), table)
         begin, sizes, pool = table.begin[at].astype(np.int64), (table.begin[at + 1] - table.begin[at]).astype(np.int64) if len(table.prints) else np.zeros(len(at), np.int64), table.ids
         lost = np.flatnonzero(at < 0)
         if len(lost):
             own = {x["key"]: x["ids"] for extra in b.column("__extra") for x in extra.as_py() or ()}
-            more = [own[keys[i]] for i in lost]
+            more = [own[_key(words[i])] for i in lost]
             sizes[lost] = [len(x) for x in more]
             begin[lost] = len(pool) + np.cumsum(sizes[lost]) - sizes[lost]
             pool = np.concatenate([pool, np.array([i for x in more for i in x], pool.dtype)])
@@ -334,11 +346,7 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
         upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
         out = [*[b.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(upto), pa.array(ids))]
         if raw is not None:
-            # Each word's ids give its text once; no character spans two words.
-            spelled, upto = pool[_ranges(begin, sizes)].tolist(), [0, *np.cumsum(sizes).tolist()]
-            said = [b"".join([raw[i] for i in spelled[x:y]]).decode("utf-8", "replace") for x, y in itertools.pairwise(upto)]
-            of, ends = codes.tolist(), [0, *np.cumsum(n).tolist()]
-            out.append(pa.array(["".join([said[c] for c in of[x:y]])[1:] for x, y in itertools.pairwise(ends)], pa.string()))
+            out.append(pa.array(spell(ids, upto), pa.string()))
         return pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * (raw is not None)])
 
     def run(batches):
@@ -353,8 +361,19 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
     return run
 
 
-def _text(raw, ids: np.ndarray) -> str:
-    return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+def _speller(raw: tuple[bytes, ...]):
+    """A function from ids and where each text's begin and end, to the texts."""
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    begin, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
+
+    def texts(ids: np.ndarray, at: np.ndarray) -> list[str]:
+        each = sizes[ids]
+        step = 1 << 19  # ids at a time: the places of their bytes take far more memory than the bytes
+        spelled = b"".join([every[_ranges(begin[ids[a : a + step]], each[a : a + step])].tobytes() for a in range(0, len(ids), step)])
+        ends = np.concatenate([[0], np.cumsum(each)])[at].tolist()
+        return [spelled[x + 1 : y].decode("utf-8", "replace") for x, y in itertools.pairwise(ends)]
+
+    return texts
 
 
 def _same(a: str, b: str) -> Column:
@@ -385,15 +404,15 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", dec
 
 def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> DataFrame:
     """Adds decoded, the text of the ids."""
-    raw = (v or load()).raw
+    spell = _speller((v or load()).raw)
     coded = coded.drop("decoded")
     names = coded.columns
 
     def run(batches):
         for b in batches:
             lists = b.column(ids)
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out = [_text(raw, flat[x:y])[1:] for x, y in zip(at[:-1], at[1:], strict=True)]
+            at = lists.offsets.to_numpy()
+            out = spell(lists.values.to_numpy()[at[0] : at[-1]], at - at[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in coded.dtypes)

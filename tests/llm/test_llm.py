@@ -1,5 +1,6 @@
 """Corpus operators on small fixtures against brute force."""
 
+import functools
 import hashlib
 import random
 import re
@@ -378,24 +379,31 @@ def library(v):
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
+@functools.cache
+def scored(v):
+    unit = sentencepiece_lattice.UNIT
+    return {p: (i, round(s * unit)) for p, i, s in v.pieces}, round(v.unknown * unit)
+
+
+@functools.lru_cache(100_000)
 def best_ids(word, v):
     """The word's best path in exact sums, the longer last piece of equals."""
-    have = {p: (i, round(s * sentencepiece_lattice.UNIT)) for p, i, s in v.pieces}
+    have, unknown = scored(v)
     plain, best = word.replace(" ", "▁"), [(0, 0, [])]
     if word == "▁":
         return [v.bytes_[x] for x in word.encode()]
     for b in range(1, len(plain) + 1):
         options = []
         for n in range(1, min(v.longest, b) + 1):
-            i, s = have.get(plain[b - n : b], (None, round(v.unknown * sentencepiece_lattice.UNIT)))
+            i, s = have.get(plain[b - n : b], (None, unknown))
             if i is not None or n == 1:
                 options.append((best[b - n][0] + s, n, [i] if i is not None else [v.bytes_[x] for x in plain[b - 1].encode()]))
         best.append(max(options, key=lambda x: x[:2]))
-    out, b = [], len(plain)
+    steps, b = [], len(plain)
     while b:
-        out = best[b][2] + out
+        steps.append(best[b][2])
         b -= best[b][1]
-    return out
+    return [i for x in reversed(steps) for i in x]
 
 
 def sentencepiece_ids(text, v):
