@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm import text as T
-from kinspark.llm.sizes import small
+from kinspark.llm.sizes import fits, small
 from kinspark.session import cut
 
 WINDOW = 10
@@ -46,13 +46,24 @@ def prefixes(wins: DataFrame, docs: DataFrame) -> DataFrame:
     return spots.groupBy("win", "items").agg(first).where("p.seen > 0").select("p.word", "p.off", "win", "items")
 
 
-def hits(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id, fp, start, len, items of every occurrence of a window."""
-    spots = docs.select("doc_id", "fp", "w", F.posexplode("w").alias("at", "word"))
-    near = spots.join(small(keys), "word")
-    begin, size = F.col("at") - F.col("off"), F.size("win")
-    fits = (begin >= 0) & (begin + size <= F.size("w"))
-    return near.where(fits).where(F.slice("w", begin + 1, size) == F.col("win")).select("doc_id", "fp", begin.alias("start"), size.alias("len"), "items")
+def hits(docs: DataFrame, keys: DataFrame, width: int = WINDOW) -> DataFrame:
+    """doc_id, fp, start, len, items of every occurrence of a window.
+
+    Where the windows are too many to broadcast, a word's row takes the words about it
+    along to the shuffled join, not the whole text."""
+    found = [F.col("doc_id"), F.col("fp")]
+    if fits(keys):
+        near = docs.select(*found, "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(keys), "word")
+        begin = F.col("at") - F.col("off")
+        same = (begin >= 0) & (begin + F.size("win") <= F.size("w")) & (F.slice("w", begin + 1, F.size("win")) == F.col("win"))
+    else:
+        about = lambda w, i: F.struct(i.alias("at"), w.alias("word"), F.slice("w", F.greatest(i - width + 2, F.lit(1)), F.lit(2 * width - 1) - F.greatest(F.lit(width - 1) - i, F.lit(0))).alias("about"))
+        rows = docs.select(*found, F.explode(F.transform("w", about)).alias("x")).select(*found, "x.*")
+        near = rows.join(keys, "word")
+        begin = F.col("at") - F.col("off")
+        first = F.least(F.col("at"), F.lit(width - 1)) - F.col("off")
+        same = (begin >= 0) & (F.slice("about", F.greatest(first, F.lit(0)) + 1, F.size("win")) == F.col("win"))
+    return near.where(same).select(*found, begin.alias("start"), F.size("win").alias("len"), "items")
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -60,7 +71,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     some = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
     coded = _words(some, "text")
     keys = cut(prefixes(cut(windows(items, width)), coded))
-    marked = hits(coded, keys).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
+    marked = hits(coded, keys, width).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     spots = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
     marked = marked.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.size(F.array_distinct(spots)).cast("long").alias("n_hit"), F.sort_array("item_ids").alias("item_ids"))
     count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(T.ANY_CASE_WORD)).cast("long")
@@ -81,7 +92,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any hit, all columns as they are."""
     coded = _words(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")), "text")
     keys = cut(prefixes(cut(windows(items, width)), coded))
-    bad = cut(hits(coded, keys).select(F.col("doc_id").alias("d"), F.col("fp").alias("f")).distinct())
+    bad = cut(hits(coded, keys, width).select(F.col("doc_id").alias("d"), F.col("fp").alias("f")).distinct())
     out = docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("f")), "left_anti")
     return out.select(*docs.columns)
 

@@ -123,6 +123,24 @@ def test_decontaminate(spark):
     assert decontaminate.report(d, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_by_shuffled_join(spark, monkeypatch):
+    """Windows beyond the broadcast's bound give the same rows, at the ends of texts too."""
+    item = words(14, 5)
+    rows = [*ODD, (20, " ".join(item)), (21, " ".join(item[:10] + ["x"] + item[4:])), (22, "y " + " ".join(item[2:12])), (23, " ".join(item[:9])), (24, "two words"), (25, "a two words b two words")]
+    items = spark.createDataFrame([("i", " ".join(item)), ("j", "Two Words"), ("k", None)], "item_id string, text string")
+    want = sorted(map(str, decontaminate.report(docs(spark, rows), items).collect()))
+    monkeypatch.setattr(decontaminate, "fits", lambda *_: False)
+    assert sorted(map(str, decontaminate.report(docs(spark, rows), items).collect())) == want
+
+
+def test_broadcast_bounds_count_bytes(spark):
+    from kinspark.llm import sizes
+
+    x = spark.range(100).select("id", F.lit("x" * 1000).alias("s"), F.array_repeat(F.lit("ab"), 50).alias("a"))
+    assert sizes.fits(x) and not sizes.fits(x, 99) and not sizes.fits(x, most=100_000) and not sizes.fits(x.select("a"), most=50_000)
+    assert sizes.fits(x.limit(0), 0, 0)
+
+
 # ---- 4
 
 
