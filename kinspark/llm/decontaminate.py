@@ -8,7 +8,9 @@ that can't fit; the words of the window are then compared in place.
 
 Defined results: null and wordless texts have no words and no hits; null item ids
 count as the empty string among the sorted ids; repeated documents give repeated
-rows, repeated items one id; empty tables give no hits or no rows; further columns
+rows, repeated items one id; of equally rare words of a window the first by name is
+its key; texts of any length are searched whole; empty tables give no hits or no
+rows; further columns
 are kept unless they bear the name of an output.
 """
 

@@ -8,8 +8,10 @@ a license wherever they stand, and from sentences of the licenses' own texts. Wh
 the longer, then the earlier rule) suppresses those whose interval it contains.
 
 Defined results: a null text counts as empty; texts without words have no
-detections, null positions and score 0; repeated rows give repeated results;
-further columns of the input are kept unless they bear the name of an output.
+detections, null positions and score 0; repeated rows give repeated results; of
+equal intervals and priorities the earlier rule stays; an empty table gives an empty
+table; texts of any length are scanned whole, in time that grows with their matches
+and not with the square of those; further columns of the input are kept unless they bear the name of an output.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ The first copy is the one with the smallest (doc_id, text hash, line number).
 
 Defined results: null texts have no lines and stay null; blank lines are lines
 without words; repeated rows (same id, same text) are one document; ties cannot
-occur; an empty table gives an empty table; further columns are kept unless they
+occur; an empty table gives an empty table; texts of any length are taken whole; further columns are kept unless they
 bear the name of an output. Line ids may collide: 3e-8 expected pairs in a
 million lines, 0.03 in a thousand million.
 """

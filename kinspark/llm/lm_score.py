@@ -11,9 +11,10 @@ Learned from training documents only, those whose crc32(doc_id as text) mod 5 is
 not 1: word counts, id counts and attention weights, over all of them. The weights
 start from a first fit on the driver (TRAIN_DOCS documents chosen by hash,
 TRAIN_WINDOWS windows: where the pass begins, not what it sees). Then every window
-of every training document is learned once: each task goes on from the first fit
-over its own documents, and the tasks' weights are averaged by their windows.
-The average depends on how the rows lie in partitions, not on the tasks' order.
+of every training document is learned once: documents are dealt to tasks of about
+SHARE documents by hash and come in the order of that hash; each task goes on from the
+first fit over its own, and the tasks' weights are averaged by their windows. So the
+model depends on the documents alone, not on how their rows lie in files or partitions.
 
 The base score needs the count of every token. The FREQUENT most frequent words
 travel to the workers; what is left of a document, its rarer words, is joined to
@@ -21,8 +22,9 @@ the counts by word.
 
 Defined results: null and empty texts have one token, the end; repeated rows give
 repeated results and count as often as they stand; a null doc_id counts as the
-empty text and is scored like any other; an empty table gives an empty table;
-further columns are dropped.
+empty text and is scored like any other; equally frequent words and ids rank by
+their bytes and numbers; texts of any length are scored whole, some windows at a
+time; an empty table gives an empty table; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_500, 60_000, 500, 512
 #: The step of the pass over all documents; weights are summed as whole multiples of 1 / FIXED.
 RATE, FIXED = 0.004, 1 << 24
 FREQUENT = 120_000
+#: Documents that a task learns from.
+SHARE = 4_000
 #: The end of a text, no word: it holds a blank.
 END = b" "
 
@@ -358,10 +362,12 @@ def _learn(shared, first):
     return run
 
 
-def learn_all(training: DataFrame, shared, model: Model) -> tuple[Model, int]:
-    """The model after every window of every training document, and how many those are."""
+def learn_all(training: DataFrame, shared, model: Model, docs: int) -> tuple[Model, int]:
+    """The model after every window of every training document, and how many those are.
+    docs: the number of rows of training."""
     first = training.sparkSession.sparkContext.broadcast(model)
-    got = training.select("text").mapInArrow(_learn(shared, first), "place int, sum bigint")
+    dealt = training.select("text", F.xxhash64("doc_id", "text").alias("h")).repartition(max(1, -(-docs // SHARE)), "h").sortWithinPartitions("h")
+    got = dealt.select("text").mapInArrow(_learn(shared, first), "place int, sum bigint")
     sums = {r["place"]: int(r["sum"]) for r in got.groupBy("place").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).collect()}  # as many rows as weights
     if not sums:
         return model, 0
@@ -421,7 +427,7 @@ def report(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     flat = np.array([i for x in ids for i in x], np.int32)
     unknown = float(np.log10(0.5 / floor))
     shared = spark.sparkContext.broadcast((proto.value, {w: i for i, (w, _) in enumerate(top)}, logs, begin, flat, unknown))
-    model, _ = learn_all(training, shared, model)
+    model, _ = learn_all(training, shared, model, total["docs"])
     fitted = spark.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
     x = cut(some.mapInArrow(_score(shared, fitted), f"doc_id {kind}, fp bigint, n_tokens bigint, n_common bigint, base_common double, score double, rare array<binary>"))

@@ -12,8 +12,10 @@ their ids); measuring and judging cover every document.
 
 Defined results: a null or blank text has no words and fails the base rule;
 repeated rows give repeated results; several labels of one document all count;
-null labels and labels without a document don't; without bad labels the list is
-empty and the base rule alone decides; further columns are kept unless they bear
+null labels and labels without a document don't; without bad labels, and on an empty
+table, the list is empty and the base rule alone decides; terms of equal gain: the
+first feature and lowest cut; the list ends with the first rule that isn't precise
+enough, however long it is by then; texts of any length are measured whole; further columns are kept unless they bear
 the name of an output.
 
 Word windows are compared by a 64-bit hash whose low bits give way to the
@@ -34,7 +36,7 @@ from kinspark.llm import text as T
 SAMPLE = 20_000
 CUTS = 16
 #: A rule must reach this precision on the pruning half, with that many bad rows.
-PRECISION, SUPPORT, MAX_RULES, MAX_TERMS = 0.97, 3, 12, 4
+PRECISION, SUPPORT = 0.97, 3
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -140,7 +142,7 @@ def _grow(rows, cuts) -> tuple[Term, ...]:
     """Adds the term of the highest information gain until no good row is covered."""
     terms: tuple[Term, ...] = ()
     bad, good = sum(r[2] for r in rows), sum(r[3] for r in rows)
-    while good and bad and len(terms) < MAX_TERMS:
+    while good and bad:
         best = (0.0, None, rows, bad, good)
         for k, vs in cuts.items():
             by = [[0, 0] for _ in range(len(vs) + 1)]
@@ -170,7 +172,7 @@ def cover(cuts, rows) -> list[Rule]:
     """Sequential covering over the cells; deterministic for given cells."""
     rows = sorted(rows, key=lambda r: (sorted(r[0].items()), r[1]))
     found: list[Rule] = []
-    while len(found) < MAX_RULES:
+    while True:
         grow, prune = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
         terms = _grow(grow, cuts)
         if not terms:

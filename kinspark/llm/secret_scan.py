@@ -57,6 +57,7 @@ ENCODINGS = (
 )
 #: Magnitudes of e-values and steps of Q that the histogram tells apart, the last ones open; steps of Q a unit.
 TOP_BIN, TOP_Q, Q_UNIT = 300, 400, 4
+BLOCK = 8192  # characters
 
 
 def _plain_log10() -> Column:
@@ -178,8 +179,14 @@ def scan(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame
     every = found.select(F.explode("tokens").alias("x")).groupBy("x.q", "x.magnitude").agg(F.count("*").alias("n"))
     uneven, least = thresholds([tuple(r) for r in every.collect()], alpha)  # at most TOP_Q * TOP_BIN rows
     good = F.filter("tokens", lambda x: (x["q"] < uneven) & (x["magnitude"] >= least))
-    new = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn("added", good).withColumn("added", new).drop("tokens")
+    # Base spans by the blocks of characters that they touch: a token meets those of its own blocks.
+    block = lambda at: F.floor(at / BLOCK).cast("int")
+    touching = lambda k: F.filter("base", lambda b: (b["start"] < (k + 1) * BLOCK) & (b["end"] > k * BLOCK))
+    last = block(F.array_max(F.transform("added", lambda x: x["end"])))
+    blocks = F.when((F.size("added") > 0) & (F.size("base") > 0), F.transform(F.sequence(F.lit(0), last), touching))
+    meets = lambda x, k: F.exists(F.get("__blocks", k), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    new = F.filter("added", lambda x: F.col("__blocks").isNull() | ~F.exists(F.sequence(block(x["start"]), block(x["end"] - 1)), lambda k: meets(x, k)))
+    return found.withColumn("added", good).withColumn("__blocks", blocks).withColumn("added", new).drop("tokens", "__blocks")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -58,7 +58,6 @@ LONG, PART = 64, 64
 #: Bytes of the broadcast words with their ids.
 BYTES = 96 << 20
 SLICE = 1_500_000  # characters that a Python worker holds at once, or one text
-CACHE = 150_000  # words whose places a Python worker remembers
 
 
 @dataclass(frozen=True)
@@ -181,18 +180,6 @@ def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     return x.select("key", "count", F.expr(f"if(exists(ids, i -> i < 0), flatten(transform(ids, i -> {spelled})), ids)").alias("ids"))
 
 
-def _slices(column):
-    """Texts, so many characters at a time; nulls are empty."""
-    some, size = [], 0
-    for text in column:
-        some.append(text.as_py() or "")
-        size += len(some[-1])
-        if size > SLICE:
-            yield some
-            some, size = [], 0
-    yield some
-
-
 def _words(find, most: int = 400_000):
     """Counts of the words of some texts at a time."""
 
@@ -200,18 +187,14 @@ def _words(find, most: int = 400_000):
         return pa.RecordBatch.from_arrays([pa.array(list(map(_key, seen)), pa.string()), pa.array([w if len(w) > LONG else None for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "word", "count"])
 
     def run(batches):
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         for b in batches:
-            for texts in _slices(b.column(0)):
-                few: Counter[str] = Counter()  # small tables are much faster to count in
-                for t in texts:
-                    if t:
-                        few.update(find(" " + t))
-                for w, n in few.items():
-                    seen[w] = seen.get(w, 0) + n
+            for text in b.column(0):
+                if t := text.as_py():
+                    seen.update(find(" " + t))
                 if len(seen) > most:
                     yield rows(seen)
-                    seen = {}
+                    seen = Counter()
         yield rows(seen)
 
     return run
@@ -316,23 +299,12 @@ def _assemble(known, chunk: str, text_at: str, keep: list[str], raw=None):
     find = re.compile(chunk).findall
     spell = _speller(raw) if raw is not None else None
 
-    cache: dict[str, int] = {}  # places of some words, by far the most of those that come
-
-    def places(words, table):
-        at = np.fromiter(map(cache.get, words, itertools.repeat(-2)), np.int64, len(words))
-        new = np.flatnonzero(at == -2)
-        some = [words[i] for i in new]
-        at[new] = table.find(_prints(list(map(_key, some))))
-        if len(cache) < CACHE:
-            cache.update(zip(some, at[new].tolist(), strict=True))
-        return at
-
     def part(b, texts, table):
         lists = [find(" " + t) if t else [] for t in texts]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+        codes, words = pd.factorize(np.array(list(itertools.chain.from_iterable(lists)), dtype=object))
         del lists
-        at = places(words.tolist(), table)
+        at = table.find(_prints(list(map(_key, words))))
         begin, sizes, pool = table.begin[at].astype(np.int64), (table.begin[at + 1] - table.begin[at]).astype(np.int64) if len(table.prints) else np.zeros(len(at), np.int64), table.ids
         lost = np.flatnonzero(at < 0)
         if len(lost):
@@ -368,7 +340,7 @@ def _speller(raw: tuple[bytes, ...]):
 
     def texts(ids: np.ndarray, at: np.ndarray) -> list[str]:
         each = sizes[ids]
-        step = 1 << 19  # ids at a time: the places of their bytes take far more memory than the bytes
+        step = 1 << 13  # ids at a time: the places of their bytes then stay in the processor's cache
         spelled = b"".join([every[_ranges(begin[ids[a : a + step]], each[a : a + step])].tobytes() for a in range(0, len(ids), step)])
         ends = np.concatenate([[0], np.cumsum(each)])[at].tolist()
         return [spelled[x + 1 : y].decode("utf-8", "replace") for x, y in itertools.pairwise(ends)]

@@ -113,8 +113,8 @@ def test_thousands_of_matches_in_one_text(spark):
     assert x["n_email"] == n and x["spans"].endswith(f"email:{15 * n - 10}:{15 * n - 2}")
     y = licenses.report(docs(spark, [(1, "under the MIT license, " * n)])).first()
     assert (y["n_base"], y["first_word"], y["last_word"], y["labels"]) == (n, 0, 4 * n - 4, "mit")
-    z = secret_scan.report(docs(spark, [(1, "deadbeefdeadbeef, " * n)])).first()
-    assert z["n_hex"] == n
+    z = secret_scan.report(docs(spark, [(1, "deadbeefdeadbeefdeadbeef, " * n)])).first()
+    assert z["n_hex"] == n and z["spans"].count("hex") == n and "random" not in z["spans"]
 
 
 def test_battery_finds_planted_tokens(spark):

@@ -350,7 +350,7 @@ def test_lm_learns_every_window_of_every_training_document(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "TRAIN_DOCS", 2)
     monkeypatch.setattr(lm_score, "TRAIN_WINDOWS", 10)
     learn, seen = lm_score.learn_all, []
-    monkeypatch.setattr(lm_score, "learn_all", lambda t, s, m: seen.append((m, *learn(t, s, m))) or seen[-1][1:])
+    monkeypatch.setattr(lm_score, "learn_all", lambda t, s, m, d: seen.append((m, *learn(t, s, m, d))) or seen[-1][1:])
     lm_score.report(docs(spark, rows)).collect()
     ids = [1 + sum(map(len, spm.encode(t.split()))) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     (first, model, n), = seen
@@ -358,6 +358,24 @@ def test_lm_learns_every_window_of_every_training_document(spark, monkeypatch):
     assert all((first.weights[k] != model.weights[k]).any() for k in first.weights)
 
 
+def test_lm_odd_tables(spark):
+    rows = [*ODD, *enumerate((" ".join(words(80, i, 60)) for i in range(12)), 40), (60, "word " * 60_000), (61, "same text here"), (61, "same text here")]
+    clash = docs(spark, rows).withColumns({"score": F.lit("x"), "rare": F.lit(1), "fp": F.lit(2), "h": F.lit(3)})
+    got = lm_score.report(clash).collect()
+    assert len(got) == len(rows) and all(r["score"] < 0 and r["base_score"] < 0 for r in got)
+    assert len({(r["score"], r["base_score"]) for r in got if r["doc_id"] == 61}) == 1
+    long = next(r for r in got if r["doc_id"] == 60)
+    assert long["n_tokens"] == 60_001
+    assert lm_score.report(clash.limit(0)).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARE", 20)
+    rows = [(i, " ".join(words(120, i, 300))) for i in range(90)]
+    scores = lambda n: {r["doc_id"]: r["score"] for r in lm_score.report(docs(spark, rows).repartition(n)).collect()}
+    assert scores(1) == scores(7)
+
+
 def test_windows_score_each_id_once():
     at = np.array([0, 5, 5, 70])
     x, y, doc = lm_score.windows(np.arange(70), at, np.zeros(100, np.int32))
