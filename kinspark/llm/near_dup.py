@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from kinspark.llm import text as T
 from kinspark.llm.components import components
 from kinspark.llm.sizes import small
+from kinspark.llm.workers import tidy
 from kinspark.session import cut
 
 ROWS, BANDS, CIRCLE, SEED = 6, 40, 1 << 21, 20_011
@@ -108,7 +109,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, fp, node, n_shingles, keys (one per band), sketch, in the shared folder."""
     sets = with_sets(docs, k)
     kind = dict(sets.dtypes)["doc_id"]
-    return cut(sets.mapInArrow(_sign, f"doc_id {kind}, fp bigint, node bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>"))
+    return cut(sets.mapInArrow(tidy(_sign), f"doc_id {kind}, fp bigint, node bigint, n_shingles bigint, keys array<bigint>, sketch array<bigint>"))
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, base: DataFrame, k: int) -> DataFrame:

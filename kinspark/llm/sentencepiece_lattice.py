@@ -47,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspark.llm.workers import tidy
 from kinspark.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -207,7 +208,7 @@ def coded_words(texts: DataFrame, v: Vocabulary) -> DataFrame:
     the lattice; a fixed number of partitions, as the lattice works far more than the
     size of the words tells."""
     spark = texts.sparkSession
-    found = texts.mapInArrow(_words(re.compile(v.chunk).findall), "key string, word string, count bigint")
+    found = texts.mapInArrow(tidy(_words(re.compile(v.chunk).findall)), "key string, word string, count bigint")
     counts = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key", "word").agg(F.sum("count").alias("count"))
     words = counts.select("key", F.coalesce("word", "key").alias("word"), "count")
     return stored(encode_words(words.sortWithinPartitions("key"), v))  # edges then come in the order that grouping wants
@@ -261,7 +262,7 @@ def dictionary(coded: DataFrame, v: Vocabulary, most: int) -> Known:
         least = at
     if least is None:
         return Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, wide), whole)
-    got = coded.where(step >= least).select("key", "ids").mapInArrow(_packed, "prints binary, sizes binary, ids binary").toLocalIterator()
+    got = coded.where(step >= least).select("key", "ids").mapInArrow(tidy(_packed), "prints binary, sizes binary, ids binary").toLocalIterator()
     parts = [(np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["ids"], np.int32).astype(wide)) for r in got]
     prints, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
@@ -366,12 +367,12 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", dec
         x = x.withColumn("__extra", F.lit(None).cast(extra))
     else:
         kind = dict(docs.dtypes)["doc_id"]
-        some = docs.select("doc_id", F.xxhash64(text).alias("print"), F.col(text)).mapInArrow(_missing(known, v.chunk), f"doc_id {kind}, print bigint, keys array<string>")
+        some = docs.select("doc_id", F.xxhash64(text).alias("print"), F.col(text)).mapInArrow(tidy(_missing(known, v.chunk)), f"doc_id {kind}, print bigint, keys array<string>")
         pairs = some.select(F.col("doc_id").alias("__d"), F.col("print").alias("__p"), F.explode("keys").alias("key")).distinct()
         found = pairs.join(coded.select("key", "ids"), "key").groupBy("__d", "__p").agg(F.collect_list(F.struct("key", "ids")).alias("__extra"))
         x = x.withColumn("__print", F.xxhash64(text)).join(found, _same("doc_id", "__d") & _same("__print", "__p"), "left").drop("__d", "__p", "__print")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in keep)
-    return x.mapInArrow(_assemble(known, v.chunk, text, keep, v.raw if decoded else None), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
+    return x.mapInArrow(tidy(_assemble(known, v.chunk, text, keep, v.raw if decoded else None)), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, v: Vocabulary | None = None, ids: str = "ids") -> DataFrame:
