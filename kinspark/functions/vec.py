@@ -142,6 +142,11 @@ def read_log_likelihood(ref: Column, alt: Column, e: Column, x_male: Column | No
     return [F.when(x_male, high if i & 1 else low).otherwise(out[i]) for i in STATES]
 
 
+def doubled(g: Column) -> Column:
+    """A hemizygous call as the diploid one: 1 becomes 2, missing stays missing."""
+    return F.when(g == 1, F.lit(2)).otherwise(g)
+
+
 def dosage(g: list[Column], x_male: Column | None = None) -> Column:
     """Expected alternative alleles; sons on X count state 1 alone, as calls of theirs
     have always been reported."""

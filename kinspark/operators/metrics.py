@@ -26,6 +26,11 @@ def mean_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg("r"), 3).alias("accuracy"))
 
 
+def report(rows: DataFrame) -> DataFrame:
+    """Rows with column r, the most accurate first."""
+    return rows.orderBy(F.desc("r"), *[c for c in rows.columns if c != "r"])
+
+
 def realised_rates(cells: DataFrame) -> DataFrame:
     """locus, freq, error: alternative-allele frequency of real and share of wrong calls."""
     wrong = F.when(F.col("est") != 9, (F.col("est") != F.col("real")).cast("double"))

@@ -76,6 +76,11 @@ def families(ped: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads, kids.select(fam, F.col("id").alias("child"), "sex")
 
 
+def distinct_parents(fams: DataFrame) -> DataFrame:
+    """parent: every sire and dam of the families once."""
+    return fams.select(F.explode(F.array("sire", "dam")).alias("parent")).distinct()
+
+
 def union_ids(ped: DataFrame, *others: DataFrame) -> DataFrame:
     """Ids that only other files have become unrelated founders."""
     extra = others[0].select("id").distinct() if others else None
@@ -113,3 +118,18 @@ def genotyped_founders(ped: DataFrame, genotypes: DataFrame) -> DataFrame:
     has = genotypes.where("g is not null and g <> 9").select("id").distinct()
     return ped.where(F.col("is_founder")).join(has, "id", "left_semi")
 
+
+
+def unmatched_groups(given: DataFrame, founders: DataFrame) -> DataFrame:
+    """mf, side: groups with frequencies that no founder has, and the other way round."""
+    a, b = given.select("mf").distinct(), founders.select("mf").distinct()
+    return a.join(b, "mf", "left_anti").select("mf", F.lit("not in the pedigree").alias("side")).union(b.join(a, "mf", "left_anti").select("mf", F.lit("without frequency").alias("side")))
+
+
+def strangers(ped: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
+    """file, id: ids that a file has and the pedigree has not."""
+    out = None
+    for name, rows in files.items():
+        x = rows.select("id").distinct().join(ped.select("id"), "id", "left_anti").select(F.lit(name).alias("file"), "id")
+        out = x if out is None else out.unionByName(x)
+    return out

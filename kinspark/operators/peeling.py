@@ -3,9 +3,10 @@
 Everything but the smoothing along loci is independent per locus, and a family
 needs its parents, its children and its own messages only: equi-joins on
 (individual, locus) and (family, locus), sums of logarithms in place of products,
-columns in place of arrays. The state of each generation is a table of its own, so
-a step rewrites only the generation it changes; each step is checkpointed, which
-keeps plans small and survives lost executors.
+columns in place of arrays. The state of each generation is a table of its own, and
+so are the messages of its families: a step reads and rewrites its parents' and
+children's generations only, so a cycle's work is linear in the generations. Each
+step is checkpointed, which keeps plans small and survives lost executors.
 
 State: id, locus, sex, a0..3 anterior, p0..3 penetrance, q0..3 posterior, s0..3
 inheritance. Messages: fam, role, parent, locus, n0..3 (a family's message about
@@ -15,6 +16,7 @@ the parent) and m0..3 (what the parent's other families say).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pyspark.sql.window import Window
 from kinspark.functions import vec
 from kinspark.functions.vec import STATES, cols
 from kinspark.operators import linkage
+from kinspark.operators.pedigree import distinct_parents
 from kinspark.session import cut
 
 SIRE, DAM = "sire", "dam"
@@ -60,15 +63,15 @@ def parents_to_child(model: Model, seg: list[Column], pair: list[Column]) -> lis
     return [vec.total([s[4 * ab + k] * pair[ab] for ab in PAIR]) for k in STATES]
 
 
-def point_inheritance(model: Model, pair: list[Column], child: list[Column]) -> list[Column]:
-    """P[d] = sum over a, b, k of T[a, b, k, d] pair[a, b] child[k] / mean over d of T."""
+def point_inheritance(model: Model, pair: list[Column], child: list[Column], normed: bool = True) -> list[Column]:
+    """P[d] = sum over a, b, k of T[a, b, k, d] pair[a, b] child[k], normed: / mean over d of T."""
 
     def build(t):
         out = []
         for d in STATES:
             terms = []
             for ab in PAIR:
-                ws = [(t[ab // 4][ab % 4][k], sum(t[ab // 4][ab % 4][k]) / 4) for k in STATES]
+                ws = [(t[ab // 4][ab % 4][k], sum(t[ab // 4][ab % 4][k]) / 4 if normed else 1.0) for k in STATES]
                 terms.append(pair[ab] * vec.summed([w[d] / n if n else 0.0 for w, n in ws], child))
             out.append(vec.total(terms))
         return out
@@ -177,48 +180,63 @@ def first_messages(fams: DataFrame, loci: DataFrame) -> DataFrame:
 
 
 class Peeling:
-    """Iterated peeling over the generations of a pedigree."""
+    """Iterated peeling over the generations of a pedigree.
+
+    State and messages are kept by generation (messages by that of their family). A
+    step reads its children's generation and those its families' parents belong to,
+    and rewrites what it changes only; which generations that are is found once."""
 
     def __init__(self, individuals: DataFrame, fams: DataFrame, kids: DataFrame, state: DataFrame, messages: DataFrame, model: Model, rates: DataFrame | None = None):
         """individuals: id, gen. rates None: single locus, inheritance stays as given."""
-        self.fams, self.kids, self.model, self.rates = cut(fams), cut(kids), model, rates
+        fams, kids, self.model, self.rates = cut(fams), cut(kids), model, rates
         gens = sorted(r["gen"] for r in individuals.select("gen").distinct().collect())  # one row a generation
+        self.steps = [g for g in gens if g > 0]
         whole = cut(state.join(individuals.select("id", "gen"), "id"))
-        self.columns = [c for c in state.columns]
+        self.columns = list(state.columns)
         self.states = {g: whole.where(F.col("gen") == g).select(*self.columns) for g in gens}
-        self.messages = cut(messages)
-
-    def state(self) -> DataFrame:
-        out = None
-        for s in self.states.values():
-            out = s if out is None else out.unionByName(s)
-        return out
-
-    def _of(self, g: int) -> tuple[DataFrame, DataFrame]:
-        fams = self.fams.where(F.col("gen") == g)
-        return fams, self.kids.join(fams.select("fam"), "fam", "left_semi")
+        self.fams = {g: cut(fams.where(F.col("gen") == g)) for g in self.steps}
+        self.kids = {g: cut(kids.join(f.select("fam"), "fam", "left_semi")) for g, f in self.fams.items()}
+        names = messages.columns
+        sent = cut(messages.join(fams.select("fam", F.col("gen").alias("__gen")), "fam"))
+        self.messages = {g: sent.where(F.col("__gen") == g).select(*names) for g in self.steps}
+        links = fams.select("gen", F.explode(F.array("sire", "dam")).alias("parent"))
+        links = cut(links.join(individuals.select(F.col("id").alias("parent"), F.col("gen").alias("born")), "parent").distinct())
+        pairs = links.select("gen", "born").distinct().collect()  # at most as many as pairs of generations
+        self.born = {g: sorted({r["born"] for r in pairs if r["gen"] == g}) for g in self.steps}
+        meets = links.alias("x").join(links.alias("y"), "parent").select(F.col("x.gen").alias("g"), F.col("y.gen").alias("h")).distinct().collect()
+        self.meets = {g: sorted({r["h"] for r in meets if r["g"] == g}) for g in self.steps}
+
+    def state(self, gens: list[int] | None = None) -> DataFrame:
+        """All individuals' rows, or those of some generations."""
+        return reduce(DataFrame.unionByName, [self.states[g] for g in (self.states if gens is None else gens)])
 
     def down(self, g: int) -> None:
-        fams, kids = self._of(g)
-        new = peel_down(fams, kids, self.state(), self.messages, self.model, self.rates).withColumnRenamed("child", "id")
+        near = self.state([*(h for h in self.born[g] if h != g), g])
+        new = peel_down(self.fams[g], self.kids[g], near, self.messages[g], self.model, self.rates).withColumnRenamed("child", "id")
         self.states[g] = _replace(self.states[g], new, ("a", "s") if self.rates is not None else ("a",))
 
     def up(self, g: int) -> None:
-        fams, kids = self._of(g)
-        new = peel_up(fams, kids, self.state(), self.messages, self.model)
-        old = self.messages.join(new.select("fam", "role", "locus", *[F.col(f"n{i}").alias(f"w{i}") for i in STATES]), ["fam", "role", "locus"], "left")
-        fresh = old.select("fam", "role", "parent", "locus", *[F.coalesce(f"w{i}", f"n{i}").alias(f"n{i}") for i in STATES], *cols("m"))
-        touched = fams.select(F.explode(F.array("sire", "dam")).alias("parent")).distinct()
-        mine = cut(leave_one_out(fresh.join(touched, "parent", "left_semi")).select(*self.messages.columns))
-        self.messages = cut(fresh.join(touched, "parent", "left_anti").select(*self.messages.columns).unionByName(mine))
+        near = self.state([*(h for h in self.born[g] if h != g), g])
+        new = peel_up(self.fams[g], self.kids[g], near, self.messages[g], self.model)
+        names = self.messages[g].columns
+        touched = cut(distinct_parents(self.fams[g]))
+        own = self.messages[g].drop(*[f"n{i}" for i in STATES]).join(new, ["fam", "role", "locus"]).select(*names, F.lit(g).alias("gen"))
+        # The parents' other families, whose messages about them stay as they are.
+        other = [self.messages[h].join(touched, "parent", "left_semi").select(*names, F.lit(h).alias("gen")) for h in self.meets[g] if h != g]
+        mine = cut(leave_one_out(reduce(DataFrame.unionByName, other, own)).select(*names, "gen"))
+        self.messages[g] = mine.where(F.col("gen") == g).select(*names)
+        for h in self.meets[g]:
+            if h != g:
+                rest = self.messages[h].join(touched, "parent", "left_anti").select(*names)
+                self.messages[h] = cut(rest.unionByName(mine.where(F.col("gen") == h).select(*names)))
         new_q = cut(posteriors(mine))
-        for h in [h for h in self.states if h < g]:
+        for h in self.born[g]:
             self.states[h] = _replace(self.states[h], new_q, ("q",))
 
     def cycle(self) -> None:
-        for g in sorted(g for g in self.states if g > 0):
+        for g in self.steps:
             self.down(g)
-        for g in sorted((g for g in self.states if g > 0), reverse=True):
+        for g in reversed(self.steps):
             self.up(g)
 
     def map_state(self, change) -> None:

@@ -6,6 +6,9 @@ builders, so that they check the algebra and not just the engine.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,11 +18,15 @@ from kinspark.functions.vec import STATES, cols, lit
 from kinspark.operators import blocks, estimate, likelihood, linkage, metrics, peeling
 from kinspark.operators import pedigree as P
 from kinspark.plans import oracles as O
+from kinspark.plans import run as R
 from kinspark.plans import testbed as B
+from kinspark.session import shared_dir
+from kinspark.sources import sinks
+from kinspark.sources import text as S
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "single_locus_2cycles"
+FLAGSHIP = "peeling_cycle"
 GE, SE = 1e-4, 1e-3
 
 
@@ -53,13 +60,6 @@ def first_state(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "locus", "sex", *cols("a"), *cols("p"), *cols("q"), *cols("s"))
 
 
-def heads(ped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    kids = ped.where(~F.col("is_founder"))
-    fam = F.xxhash64("sire", "dam").alias("fam")
-    fams = kids.groupBy("sire", "dam").agg(F.max("gen").alias("gen")).select(fam, "sire", "dam", "gen")
-    return fams, kids.select(fam, F.col("id").alias("child"), "sex")
-
-
 def loci(spark: SparkSession) -> DataFrame:
     return spark.range(1, 8).select(F.col("id").cast("int").alias("locus"))
 
@@ -69,8 +69,9 @@ def loci(spark: SparkSession) -> DataFrame:
 
 @query("ped_families", O.FAMILIES)
 def ped_families(spark, d):
-    x = B.pedigree(spark, d).where(~F.col("is_founder"))
-    return x.groupBy("sire", "dam").agg(F.max("gen").alias("gen"), F.count("*").alias("n_children"), F.min("id").alias("first_child"))
+    fams, kids = P.families(B.pedigree(spark, d))
+    x = kids.groupBy("fam").agg(F.count("*").alias("n_children"), F.min("child").alias("first_child")).join(fams, "fam")
+    return x.select("sire", "dam", "gen", "n_children", "first_child")
 
 
 @query("ped_generations", O.GENERATIONS)
@@ -105,15 +106,25 @@ def metafounder_assign(spark, d):
 
 @query("metafounder_antijoin", O.GROUPS_MISSING)
 def metafounder_antijoin(spark, d):
-    mine = B.pedigree(spark, d).where("is_founder").select("mf").distinct()
     given = spark.sql("select explode(array('MF_1', 'MF_3', 'MF_8', 'MF_12')) as mf")
-    a = given.join(mine, "mf", "left_anti").select("mf", F.lit("not in the pedigree").alias("side"))
-    return a.union(mine.join(given, "mf", "left_anti").select("mf", F.lit("without frequency").alias("side")))
+    return P.unmatched_groups(given, B.pedigree(spark, d).where("is_founder"))
 
 
-@query("id_union_order_all", O.UNION_ORDER_ALL)
-def id_union_order_all(spark, d):
-    """Every place; id_union_order is its head."""
+@query("genotyped_founders", O.GENOTYPED_FOUNDERS)
+def genotyped_founders(spark, d):
+    return P.genotyped_founders(B.pedigree(spark, d), B.cells(spark, d)).select("id", "mf")
+
+
+@query("ids_not_in_pedigree", O.STRANGERS)
+def ids_not_in_pedigree(spark, d):
+    """Ids that other files have and the pedigree has not, of every third individual's pedigree."""
+    ped = B.pedigree(spark, d)
+    return P.strangers(ped.where("id % 3 <> 0"), {"genotypes": B.cells(spark, d), "phenotypes": ped.where("pheno = 1")})
+
+
+@query("id_union_order", O.UNION_ORDER)
+def id_union_order(spark, d):
+    """Every id in output order: row by row, with the id before it."""
     ped = B.pedigree(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("0").alias("sire"), F.lit("0").alias("dam"), "sex")
     sup = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("line"))
     x = P.union_ids(ped, sup).withColumn("is_dummy", F.lit(False))
@@ -121,14 +132,102 @@ def id_union_order_all(spark, d):
     return x.select("id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
 
 
-@query("id_union_order", O.UNION_ORDER)
-def id_union_order(spark, d):
-    return id_union_order_all(spark, d).where("place <= 200")
+# ---------------------------------------------------------------- scans
+# Tables of the driver are written as text lines and read by the library's scans.
+
+
+def written(spark: SparkSession, lines: DataFrame) -> str:
+    """The path of the lines (value, ord, row) as text in the shared folder."""
+    at = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    sinks.write(lines, at)
+    return at
+
+
+def id_order(x: DataFrame) -> DataFrame:
+    return x.select(F.col("id"), F.col("id").alias("ord")).distinct()
+
+
+def cell_lines(x: DataFrame, *values, form: str = "%d") -> DataFrame:
+    return sinks.rows_of(x, [F.col(v) if isinstance(v, str) else v for v in values], id_order(x), form)
+
+
+def plain_lines(x: DataFrame, *columns) -> DataFrame:
+    """A line of tokens for every row of a table with column ord."""
+    return x.select(F.concat_ws(" ", *columns).alias("value"), "ord", F.lit(0).alias("row"))
+
+
+def pedigree_lines(spark, d) -> DataFrame:
+    x = B.pedigree(spark, d).withColumn("ord", F.col("id"))
+    name = lambda c: F.when(F.col("is_founder"), F.col("mf") if c == "sire" else F.lit("0")).otherwise(F.col(c).cast("string"))
+    return plain_lines(x, "id", name("sire"), name("dam"), "sex", F.lit("a note"))
+
+
+def to_long(x: DataFrame) -> DataFrame:
+    return x.withColumn("id", F.col("id").cast("long"))
+
+
+@query("scan_pedigree", O.SCAN_PEDIGREE)
+def scan_pedigree(spark, d):
+    return to_long(S.pedigree(spark, written(spark, pedigree_lines(spark, d))).drop("place"))
+
+
+@query("scan_genotypes", O.SCAN_GENOTYPES)
+def scan_genotypes(spark, d):
+    return to_long(S.genotypes(spark, written(spark, cell_lines(B.cells(spark, d), "g"))))
+
+
+@query("scan_haplotypes", O.SCAN_HAPLOTYPES)
+def scan_haplotypes(spark, d):
+    return to_long(S.haplotypes(spark, written(spark, cell_lines(B.cells(spark, d), F.col("ref") % 2, F.col("alt") % 2))))
+
+
+@query("scan_reads", O.SCAN_READS)
+def scan_reads(spark, d):
+    return to_long(S.reads(spark, written(spark, cell_lines(B.cells(spark, d), "ref", "alt"))))
 
 
 @query("snp_window", O.SNP_WINDOW)
 def snp_window(spark, d):
-    return B.cells(spark, d).where(F.col("locus").between(2, 4)).groupBy("locus").agg(F.sum("ref").alias("ref"), F.sum("alt").alias("alt"), F.count_if(F.col("g") != 9).alias("called"))
+    x = B.cells(spark, d)
+    g = S.genotypes(spark, written(spark, cell_lines(x, "g")), 2, 4)
+    r = S.reads(spark, written(spark, cell_lines(x, "ref", "alt")), 2, 4)
+    return g.join(r, ["id", "locus"]).groupBy("locus").agg(F.sum("ref").alias("ref"), F.sum("alt").alias("alt"), F.count_if(F.col("g") != 9).alias("called"))
+
+
+@query("scan_phenotypes", O.SCAN_PHENOTYPES)
+def scan_phenotypes(spark, d):
+    ped = B.pedigree(spark, d).withColumn("ord", F.col("id"))
+    twice = ped.where("id % 4 = 0").withColumn("pheno", F.lit(0))
+    return to_long(S.phenotypes(spark, written(spark, plain_lines(ped.unionByName(twice), "id", "pheno"))))
+
+
+@query("scan_external_penetrance", O.SCAN_EXTERNAL)
+def scan_external_penetrance(spark, d):
+    x = _seg_vectors(spark, d).withColumn("locus", F.col("seg"))
+    return rounded(to_long(S.four_rows(spark, written(spark, cell_lines(x, *[f"s{i}" for i in STATES], form="%.4f")))), "id", "state", "locus")
+
+
+@query("scan_inheritance", O.SCAN_INHERITANCE)
+def scan_inheritance(spark, d):
+    x = _seg_vectors(spark, d).withColumn("locus", F.col("seg"))
+    return rounded(to_long(S.inheritance(spark, written(spark, sinks.inheritance(x, id_order(x))))), "id", "seg")
+
+
+@query("scan_frequencies", O.SCAN_FREQUENCIES)
+def scan_frequencies(spark, d):
+    x = _frequencies(spark).select(F.col("mf").alias("id"), "locus", "p")
+    return rounded(S.frequencies(spark, written(spark, cell_lines(x, "p", form="%.3f"))), "mf", "locus")
+
+
+@query("scan_map", O.SCAN_MAP)
+def scan_map(spark, d):
+    x = _map(spark).withColumn("ord", -F.col("locus"))
+    return S.marker_map(spark, written(spark, plain_lines(x, F.lit("1"), F.concat(F.lit("m"), F.col("locus").cast("string")), "pos")), 2, 6)
+
+
+@query("scan_pheno_penetrance", O.SCAN_TABLE)
+def scan_pheno_penetrance(spark, d):
+    return rounded(S.phenotype_penetrance(spark, written(spark, sinks.phenotype_table(_table(spark)))), "state", "pheno")
 
 
 # ---------------------------------------------------------------- likelihoods
@@ -244,15 +343,33 @@ def call_phase(spark, d):
     return probabilities(spark, d).select("id", "locus", pat.alias("pat"), mat.alias("mat"))
 
 
-@query("geno_prob_unphased", O.UNPHASED)
-def geno_prob_unphased(spark, d):
-    rows = F.array(F.col("x0"), F.col("x1") + F.col("x2"), F.col("x3"))
-    return rounded(probabilities(spark, d).select("id", "locus", F.posexplode(rows).alias("row", "p")), "id", "locus", "row")
+def parsed(rows: DataFrame) -> DataFrame:
+    """id, row, locus, v of a sink's lines."""
+    t = F.split(F.trim(F.col("value")), " ")
+    x = rows.select(F.get(t, F.lit(0)).cast("long").alias("id"), "row", F.posexplode(F.slice(t, F.lit(2), F.size(t) - 1)).alias("i", "v"))
+    return x.select("id", "row", (2 * F.col("i") + 1).alias("locus"), F.col("v").cast("double").alias("v"))
+
+
+def tenths(spark, d) -> DataFrame:
+    """Probabilities of few decimals, which every way of rounding writes alike, at the loci 1, 3, 5, 7."""
+    x = _seg_vectors(spark, d).join(B.pedigree(spark, d).select("id", "sex"), "id")
+    return x.select("id", F.col("seg").alias("locus"), "sex", *[F.col(f"s{i}").alias(f"x{i}") for i in STATES])
+
+
+def _sink(write):
+    def run(spark, d):
+        x = tenths(spark, d)
+        return rounded(parsed(write(x, id_order(x))), "id", "row", "locus")
 
+    return run
 
-@query("phased_stack", O.STACK)
-def phased_stack(spark, d):
-    return rounded(probabilities(spark, d).select("id", "locus", F.posexplode(F.array(*cols("x"))).alias("row", "p")), "id", "locus", "row")
+
+query("sink_dosages", O.SINK_DOSAGES)(_sink(sinks.dosages))
+query("sink_dosages_x", O.SINK_DOSAGES_X)(_sink(lambda x, o: sinks.dosages(x, o, True)))
+query("geno_prob_unphased", O.SINK_UNPHASED)(_sink(sinks.unphased))
+query("phased_stack", O.SINK_PHASED)(_sink(sinks.phased))
+query("sink_called", O.SINK_CALLED)(_sink(lambda x, o: sinks.called(x, o, 0.45)))
+query("sink_haplotypes", O.SINK_HAPLOTYPES)(_sink(lambda x, o: sinks.haplotypes(x, o, 0.55)))
 
 
 @query("pheno_prob", O.PHENO_PROB)
@@ -262,8 +379,21 @@ def pheno_prob(spark, d):
 
 @query("aap_pivot", O.PIVOT)
 def aap_pivot(spark, d):
-    names = P.founder_groups_sorted(["MF_5", "MF_1", "MF_3", "MF_2"])
-    return _frequencies(spark).groupBy("locus").pivot("mf", names).agg(F.round(F.first("p"), 2))
+    """The text of frequencies: a header, then a line for every locus."""
+    return sinks.frequencies(_frequencies(spark).withColumn("p", F.col("p") + 0.002)).select("value", F.col("ord").alias("line"))
+
+
+@query("sink_phenotypes", O.SINK_PHENOTYPES)
+def sink_phenotypes(spark, d):
+    ped = B.pedigree(spark, d)
+    x = ped.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pheno")).withColumn("prob", (F.col("id") % 7 + F.col("pheno")) / 8.0)
+    return sinks.phenotype_rows(x, id_order(ped)).select(F.ltrim(F.regexp_replace("value", "^\n", "")).alias("value"), "row")
+
+
+@query("sink_parameters", O.SINK_PARAMETERS)
+def sink_parameters(spark, d):
+    x = B.cells(spark, d).groupBy("locus").agg((F.sum("alt") % 64 / 64.0).alias("rate"))
+    return sinks.per_locus(x, "rate").select("value", F.col("ord").alias("line"))
 
 
 def _seg_vectors(spark, d, step: int = 2):
@@ -279,16 +409,18 @@ def _map(spark):
     return loci(spark).withColumn("pos", (F.col("locus") * (F.col("locus") + 1) * 500).cast("long"))
 
 
-@query("seg_prob_stack", O.SEG_STACK)
+@query("seg_prob_stack", O.SINK_PHASED)
 def seg_prob_stack(spark, d):
-    return rounded(_seg_vectors(spark, d).select("id", "seg", F.posexplode(F.array(*cols("s"))).alias("row", "p")), "id", "seg", "row")
+    x = _seg_vectors(spark, d).withColumn("locus", F.col("seg"))
+    return rounded(parsed(sinks.inheritance(x, id_order(x))), "id", "row", "locus")
 
 
 @query("seg_rows_left_default", O.SEG_DEFAULT)
 def seg_rows_left_default(spark, d):
-    some = _seg_vectors(spark, d).where("id % 3 = 0")
-    x = B.pedigree(spark, d).select("id").join(F.broadcast(spark.range(1, 8, 2).withColumnRenamed("id", "seg")), F.lit(True)).join(some, ["id", "seg"], "left")
-    return rounded(x.select("id", "seg", *[F.coalesce(f"s{i}", lit(0.25)).alias(f"s{i}") for i in STATES]), "id", "seg")
+    """Inheritance files give some individuals' vectors; the others keep even chances."""
+    state = likelihood.grid(B.pedigree(spark, d).select("id"), spark.range(1, 8, 2).select(F.col("id").alias("locus"))).withColumns(uniform("s"))
+    some = _seg_vectors(spark, d).where("id % 3 = 0").withColumnRenamed("seg", "locus")
+    return rounded(R.put(state, some, "s").withColumnRenamed("locus", "seg"), "id", "seg")
 
 
 # ---------------------------------------------------------------- along the loci
@@ -323,7 +455,7 @@ def forward_backward(spark, d):
 def _parts(spark, d):
     """State, families and children; beliefs from observations alone."""
     ped = B.pedigree(spark, d)
-    fams, kids = heads(ped)
+    fams, kids = P.families(ped)
     return first_state(spark, d), fams, kids, peeling.first_messages(fams, loci(spark))
 
 
@@ -346,19 +478,13 @@ def _children(spark, d):
     return peeling.child_terms(kids, state, MODEL)
 
 
-@query("child_seg_tensor_all", O.TENSOR_ALL)
-def child_seg_tensor_all(spark, d):
-    """The tensor of every inheritance vector; child_seg_tensor has those at locus 1."""
+@query("child_seg_tensor", O.TENSOR)
+def child_seg_tensor(spark, d):
     x = _seg_vectors(spark, d)
     rows = F.posexplode(F.array(*peeling.child_tensor(MODEL, cols("s")))).alias("abk", "p")
     return rounded(x.select("id", "seg", rows), "id", "seg", "abk")
 
 
-@query("child_seg_tensor", O.TENSOR)
-def child_seg_tensor(spark, d):
-    return child_seg_tensor_all(spark, d).where("seg = 1").drop("seg")
-
-
 @query("child_to_parents", O.TO_PARENTS)
 def child_to_parents(spark, d):
     x = _children(spark, d)
@@ -387,6 +513,39 @@ def marginal_sire_dam(spark, d):
     return rounded(x.select("sire", "dam", "locus", *vec.named(peeling.marginal_sire(j, cols("d")), "x"), *vec.named(peeling.marginal_dam(j, cols("f")), "y")), "sire", "dam", "locus")
 
 
+@query("point_seg_plain", O.POINT_PLAIN)
+def point_seg_plain(spark, d):
+    x = _children(spark, d)
+    pair = vec.norm([lit(i + 1) for i in range(16)])
+    return rounded(x.select("child", "locus", *vec.named(peeling.point_inheritance(MODEL, pair, cols("v"), normed=False), "e")), "child", "locus")
+
+
+@query("distinct_parents", O.PARENTS)
+def distinct_parents(spark, d):
+    """For each generation the parents of its families."""
+    fams, _ = P.families(B.pedigree(spark, d))
+    return reduce(DataFrame.unionByName, [P.distinct_parents(fams.where(F.col("gen") == g)).withColumn("gen", F.lit(g)) for g in range(1, 5)])
+
+
+@query("double_hemizygous", O.DOUBLED)
+def double_hemizygous(spark, d):
+    return B.cells(spark, d).select("id", "locus", vec.doubled(F.col("g")).alias("g"))
+
+
+@query("output_without_dummies", O.ONLY)
+def output_without_dummies(spark, d):
+    """Output order restricted to a file's individuals: dummies and others go."""
+    half = _half_known(spark, d)
+    ids = B.pedigree(spark, d).where("id % 3 = 1").select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("id"), F.col("id").alias("line"))
+    x = P.output_order(P.with_dummies(half), ids, only=True)
+    return x.select("id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
+
+
+@query("accuracy_report", O.REPORT)
+def accuracy_report(spark, d):
+    return rounded(metrics.report(metrics.marker_accuracy(_compared(spark, d))), "locus")
+
+
 @query("leave_one_out", O.LEAVE)
 def leave_one_out(spark, d):
     return rounded(_merged(spark, d).select("sire", "dam", "role", "locus", *cols("m")), "sire", "dam", "role", "locus")
@@ -433,14 +592,36 @@ def peel_up_one_gen(spark, d):
     return rounded(x.select("sire", "dam", "role", "locus", *cols("n")), "sire", "dam", "role", "locus")
 
 
+def _dosages(x: DataFrame) -> DataFrame:
+    return rounded(x.select("id", "locus", vec.dosage(cols("x")).alias("dosage")), "id", "locus")
+
+
+@query("peeling_cycle", O.CYCLE)
+def peeling_cycle(spark, d):
+    """A whole cycle, all generations down and up: the loop that analyses run."""
+    state, fams, kids, messages = _parts(spark, d)
+    run = peeling.Peeling(B.pedigree(spark, d).select("id", "gen"), fams, kids, state, messages, MODEL)
+    run.cycle()
+    return _dosages(likelihood.genotype_probability(run.state()))
+
+
 @query("single_locus_2cycles", O.CYCLES)
 def single_locus_2cycles(spark, d):
+    """Two cycles with a locus's whole pedigree in one task, for pedigrees that fit."""
     rows = first_state(spark, d).join(B.pedigree(spark, d).select("id", "gen", "sire", "dam"), "id")
-    x = blocks.single_locus(rows, 2)
-    return rounded(x.select("id", "locus", vec.dosage(cols("x")).alias("dosage")), "id", "locus")
+    return _dosages(blocks.single_locus(rows, 2))
+
+
+@query("analysis_single", O.CYCLE)
+def analysis_single(spark, d):
+    """A whole analysis from text files: scans, penetrances, a cycle, dosages."""
+    x = B.cells(spark, d)
+    ped = pedigree_lines(spark, d).select(F.regexp_replace("value", "MF_[0-9]+", "0").alias("value"), "ord", "row")
+    o = R.Options(method="single", ped_file=[written(spark, ped)], geno_file=[written(spark, cell_lines(x, "g"))], seq_file=[written(spark, cell_lines(x, "ref", "alt"))], n_cycle=1, no_phase_founder=True, geno_error_prob=GE, seq_error_prob=SE)
+    return to_long(_dosages(R.Analysis(spark, o).run().probabilities()))
 
 
-@query("multi_locus_down_one_gen")
+@query("multi_locus_down_one_gen", O.MULTI_DOWN)
 def multi_locus_down_one_gen(spark, d):
     state, fams, kids, messages = _parts(spark, d)
     fams = fams.where("gen = 1")
@@ -448,7 +629,7 @@ def multi_locus_down_one_gen(spark, d):
     return rounded(peeling.peel_down(fams, kids, state, messages, MODEL, linkage.transmission_rates(_map(spark))), "child", "locus")
 
 
-@query("multi_locus_1cycle")
+@query("multi_locus_1cycle", O.MULTI_CYCLE)
 def multi_locus_1cycle(spark, d):
     """A whole cycle, all generations down and up, with smoothing along the loci."""
     state, fams, kids, messages = _parts(spark, d)

@@ -47,10 +47,14 @@ SELECT mf, 'not in the pedigree' AS side FROM (SELECT mf FROM given EXCEPT SELEC
 UNION ALL SELECT mf, 'without frequency' FROM (SELECT mf FROM mine EXCEPT SELECT mf FROM given)"""
 UNION_ORDER = f"""WITH {WITH}, u AS (SELECT id::VARCHAR AS id, NULL AS line FROM ped UNION ALL
   SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END FROM supplier)
-SELECT * FROM (SELECT id, row_number() OVER (ORDER BY line IS NULL, line, id) AS place FROM u) WHERE place <= 200"""
-UNION_ORDER_ALL = f"""WITH {WITH}, u AS (SELECT id::VARCHAR AS id, NULL AS line FROM ped UNION ALL
-  SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END FROM supplier)
 SELECT id, row_number() OVER (ORDER BY line IS NULL, line, id) AS place FROM u"""
+GENOTYPED_FOUNDERS = f"WITH {WITH} SELECT id, mf FROM ped WHERE is_founder AND id IN (SELECT id FROM cells WHERE g <> 9)"
+STRANGERS = f"WITH {WITH} SELECT 'genotypes' AS file, id FROM ped WHERE id % 3 = 0 UNION ALL SELECT 'phenotypes', id FROM ped WHERE id % 3 = 0 AND pheno = 1"
+SCAN_PEDIGREE = f"WITH {WITH} SELECT id, CASE WHEN is_founder THEN mf ELSE sire::VARCHAR END AS sire, CASE WHEN is_founder THEN '0' ELSE dam::VARCHAR END AS dam, sex FROM ped"
+SCAN_GENOTYPES = f"WITH {WITH} SELECT id, locus, g FROM cells"
+SCAN_HAPLOTYPES = f"WITH {WITH} SELECT id, locus, ref % 2 AS pat, alt % 2 AS mat FROM cells"
+SCAN_READS = f"WITH {WITH} SELECT id, locus, ref::BIGINT AS ref, alt::BIGINT AS alt FROM cells"
+SCAN_PHENOTYPES = f"WITH {WITH} SELECT id, pheno FROM ped UNION ALL SELECT id, 0 FROM ped WHERE id % 4 = 0"
 SNP_WINDOW = f"WITH {WITH} SELECT locus, sum(ref)::BIGINT AS ref, sum(alt)::BIGINT AS alt, count(*) FILTER (g <> 9) AS called FROM cells WHERE locus BETWEEN 2 AND 4 GROUP BY locus"
 
 PEN_GENO = f"WITH {GENO} {wide('pen', 'id, locus', 'p')}"
@@ -90,19 +94,35 @@ W_ = f"WITH {PROB_}, w AS (SELECT id, locus, max(v) FILTER (k = 0) AS a, max(v)
 CALL = f"{W_} SELECT id, locus, (CASE WHEN greatest(a, b + c, d) <= 0.9 + 1e-9 THEN 9 WHEN a >= b + c AND a >= d THEN 0 WHEN b + c >= d THEN 1 ELSE 2 END)::INT AS g FROM w"
 PHASE = f"""{W_} SELECT id, locus, (CASE WHEN greatest(a + b, c + d) <= 0.6 + 1e-9 THEN 9 WHEN a + b >= c + d THEN 0 ELSE 1 END)::INT AS pat,
   (CASE WHEN greatest(a + c, b + d) <= 0.6 + 1e-9 THEN 9 WHEN a + c >= b + d THEN 0 ELSE 1 END)::INT AS mat FROM w"""
-UNPHASED = f'WITH {PROB_} SELECT id, locus, (CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)::INT AS "row", round(sum(v), 6) AS p FROM pen GROUP BY ALL'
-STACK = f'WITH {PROB_} SELECT id, locus, k AS "row", round(v, 6) AS p FROM pen'
 PHENO_PROB = f"""WITH {PROB_}, {TABLE}, s AS (SELECT id, pheno, sum(v * p) AS v FROM pen JOIN tab USING (k) GROUP BY id, pheno)
 SELECT id, pheno, round(v / sum(v) OVER (PARTITION BY id), 6) AS prob FROM s"""
-PIVOT = f'WITH {FREQ} SELECT locus, {", ".join(f"round(max(p) FILTER (mf = {chr(39)}MF_{g}{chr(39)}), 2) AS MF_{g}" for g in (1, 2, 3, 5))} FROM freq GROUP BY locus'
+_GROUPS = (1, 2, 3, 5)
+PIVOT = f"""WITH {FREQ} SELECT 0 AS line, array_to_string(['MF_1', 'MF_2', 'MF_3', 'MF_5'], chr(9)) AS value
+UNION ALL SELECT locus, {" || chr(9) || ".join(f"printf('%.2f', max(p + 0.002) FILTER (mf = 'MF_{g}'))" for g in _GROUPS)} FROM freq GROUP BY locus"""
+SCAN_FREQUENCIES = f"WITH {FREQ} SELECT mf, locus, round(p, 6) AS p FROM freq"
+SCAN_TABLE = f"WITH {TABLE} SELECT k AS state, pheno, p FROM tab"
+SINK_PHENOTYPES = f"WITH {WITH} SELECT id || ' ' || printf('%.4f', (id % 7 + f) / 8.0::DOUBLE) AS value, f AS \"row\" FROM ped, (VALUES (0), (1)) q(f)"
+SINK_PARAMETERS = f"WITH {WITH} SELECT locus AS line, printf('%.6f', (sum(alt) % 64) / 64.0::DOUBLE) AS value FROM cells GROUP BY locus"
 
 
 def _seg(step: int) -> str:
     return f"{WITH}, {K}, sraw AS (SELECT id, s AS seg, k, ((id + s * (k + 1)) % 4 + 1)::DOUBLE AS v FROM ped, unnest(range(1, 8, {step})) t(s), k4), seg AS MATERIALIZED (SELECT id, seg, k, v / sum(v) OVER (PARTITION BY id, seg) AS v FROM sraw)"
 
 
-SEG_STACK = f'WITH {_seg(2)} SELECT id, seg, k AS "row", round(v, 6) AS p FROM seg'
+_CELL = 'seg::INT AS locus'
+SINK_PHASED = f'WITH {_seg(2)} SELECT id, k AS "row", {_CELL}, round(v, 6) AS v FROM seg'
+SINK_UNPHASED = f'WITH {_seg(2)} SELECT id, (CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)::INT AS "row", {_CELL}, round(sum(v), 6) AS v FROM seg GROUP BY ALL'
+SINK_DOSAGES = f'WITH {_seg(2)} SELECT id, 0 AS "row", {_CELL}, round(sum(v * CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END), 6) AS v FROM seg GROUP BY ALL'
+SINK_DOSAGES_X = f'WITH {_seg(2)} SELECT seg.id, 0 AS "row", {_CELL}, round(sum(v * CASE WHEN sex = 0 THEN CASE WHEN k = 1 THEN 1 ELSE 0 END ELSE CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END END), 6) AS v FROM seg JOIN ped ON ped.id = seg.id GROUP BY ALL'
+_STATES = f"WITH {_seg(2)}, w AS (SELECT id, seg, max(v) FILTER (k = 0) AS a, max(v) FILTER (k = 1) AS b, max(v) FILTER (k = 2) AS c, max(v) FILTER (k = 3) AS d FROM seg GROUP BY id, seg)"
+SINK_CALLED = f'{_STATES} SELECT id, 0 AS "row", {_CELL}, (CASE WHEN greatest(a, b + c, d) <= 0.45 + 1e-9 THEN 9 WHEN a >= b + c AND a >= d THEN 0 WHEN b + c >= d THEN 1 ELSE 2 END)::DOUBLE AS v FROM w'
+SINK_HAPLOTYPES = f"""{_STATES} SELECT id, 0 AS "row", {_CELL}, (CASE WHEN greatest(a + b, c + d) <= 0.55 + 1e-9 THEN 9 WHEN a + b >= c + d THEN 0 ELSE 1 END)::DOUBLE AS v FROM w
+UNION ALL SELECT id, 1, seg::INT, (CASE WHEN greatest(a + c, b + d) <= 0.55 + 1e-9 THEN 9 WHEN a + c >= b + d THEN 0 ELSE 1 END)::DOUBLE FROM w"""
+_FOURTH = "((seg + 1) // 2)"
+SCAN_EXTERNAL = f"WITH {_seg(2)} SELECT id, k AS state, {_FOURTH}::INT AS locus, round(v, 6) AS p FROM seg"
+SCAN_INHERITANCE = f"WITH {_seg(2)}, y AS (SELECT id, {_FOURTH}::BIGINT AS seg, k, v FROM seg) {wide('y', 'id, seg', 's')}"
 SEG_DEFAULT = f"WITH {_seg(2)}, x AS (SELECT id, seg, k, CASE WHEN id % 3 = 0 THEN v ELSE 0.25 END AS v FROM seg) {wide('x', 'id, seg', 's')}"
+SCAN_MAP = "WITH map AS (SELECT l::INT AS locus, (l * (l + 1) * 500)::BIGINT AS pos FROM unnest(range(1, 8)) t(l)) SELECT locus, '1' AS chr, 'm' || locus AS name, pos FROM map WHERE locus BETWEEN 2 AND 6"
 MAP = "map AS (SELECT l::INT AS locus, (l * (l + 1) * 500)::BIGINT AS pos FROM unnest(range(1, 8)) t(l))"
 RATE = f"{MAP}, rate AS (SELECT locus, (lead(pos) OVER (ORDER BY locus) - pos) / (max(pos) OVER () - min(pos) OVER ())::DOUBLE AS rate FROM map)"
 RATES = f"WITH {RATE} SELECT locus, round(rate, 9) AS rate FROM rate WHERE rate IS NOT NULL"
@@ -166,8 +186,7 @@ JOINT = f"WITH {FIRST} SELECT sire, dam, locus, (4 * a + b)::INT AS ab, round(v,
 MARGINALS = f"""WITH {FIRST}, x AS (SELECT j.sire, j.dam, j.locus, j.a AS k, sum(j.v * ({MIX4.format(x='d.v')})) AS v FROM j JOIN pd d ON d.sire = j.sire AND d.dam = j.dam AND d.locus = j.locus AND d.k = j.b GROUP BY ALL),
 y AS (SELECT j.sire, j.dam, j.locus, j.b AS k, sum(j.v * ({MIX4.format(x='s.v')})) AS w FROM j JOIN ps s ON s.sire = j.sire AND s.dam = j.dam AND s.locus = j.locus AND s.k = j.a GROUP BY ALL),
 z AS (SELECT * FROM x JOIN y USING (sire, dam, locus, k)) SELECT sire, dam, locus, {", ".join(f"round(max(v) FILTER (k = {i}), 6) AS x{i}, round(max(w) FILTER (k = {i}), 6) AS y{i}" for i in S_)} FROM z GROUP BY sire, dam, locus"""
-TENSOR = f"WITH {_seg(2)}, {TENSOR_} SELECT id, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d WHERE seg = 1 GROUP BY id, a, b, t.k"
-TENSOR_ALL = f"WITH {_seg(2)}, {TENSOR_} SELECT id, seg, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d GROUP BY id, seg, a, b, t.k"
+TENSOR = f"WITH {_seg(2)}, {TENSOR_} SELECT id, seg, (16 * a + 4 * b + t.k)::INT AS abk, round(sum(w * v), 6) AS p FROM ten t JOIN seg ON seg.k = t.d GROUP BY id, seg, a, b, t.k"
 KID = f"""{BOTH}, {TENSOR_}, sraw AS (SELECT id, s AS seg, k, ((id + s * (k + 1)) % 4 + 1)::DOUBLE AS v FROM ped, unnest(range(1, 8)) t(s), k4), seg AS MATERIALIZED (SELECT id, seg, k, v / sum(v) OVER (PARTITION BY id, seg) AS v FROM sraw),
 vv AS MATERIALIZED (SELECT id, locus, k, {MIX4.format(x='v')} AS v FROM pen WHERE id IN (SELECT id FROM ped WHERE NOT is_founder)),
 sk AS MATERIALIZED (SELECT id, seg::INT AS locus, a, b, t.k, sum(w * v) AS v FROM seg JOIN ten t ON t.d = seg.k WHERE id IN (SELECT id FROM ped WHERE NOT is_founder) GROUP BY ALL)"""
@@ -175,6 +194,10 @@ TO_PARENTS = f"WITH {KID} SELECT id AS child, locus, (4 * a + b)::INT AS ab, rou
 TO_CHILD = f"WITH {KID}, x AS (SELECT id AS child, locus, k, sum(v * (4 * a + b + 1) / 136.0::DOUBLE) AS v FROM sk GROUP BY ALL) {wide('x', 'child, locus', 'a')}"
 POINT = f"""WITH {KID}, nt AS (SELECT a, b, k, sum(w) / 4 AS n FROM ten GROUP BY ALL),
 x AS (SELECT vv.id AS child, locus, t.d AS k, sum(w * (4 * a + b + 1) / 136.0::DOUBLE * vv.v / n) AS v FROM vv JOIN ten t ON t.k = vv.k JOIN nt USING (a, b) WHERE nt.k = t.k GROUP BY ALL) {wide('x', 'child, locus', 'e')}"""
+POINT_PLAIN = f"""WITH {KID}, x AS (SELECT vv.id AS child, locus, t.d AS k, sum(w * (4 * a + b + 1) / 136.0::DOUBLE * vv.v) AS v FROM vv JOIN ten t ON t.k = vv.k GROUP BY ALL) {wide('x', 'child, locus', 'e')}"""
+PARENTS = f"WITH {WITH} SELECT sire AS parent, gen FROM ped WHERE sire IS NOT NULL UNION SELECT dam, gen FROM ped WHERE dam IS NOT NULL"
+DOUBLED = f"WITH {WITH} SELECT id, locus, CASE g WHEN 1 THEN 2 ELSE g END AS g FROM cells"
+ONLY = f"WITH {WITH} SELECT 'i' || id AS id, row_number() OVER (ORDER BY id) AS place FROM ped WHERE id % 3 = 1"
 MSG = f"""{WITH}, {K}, {FAM}, m AS (SELECT sire, dam, role, CASE role WHEN 'sire' THEN sire ELSE dam END AS parent, locus, k, ((sire + 2 * dam + locus * (k + 1)) % 7 + 1)::DOUBLE / 10 AS n
   FROM fam, (VALUES ('sire'), ('dam')) r(role), (SELECT DISTINCT locus FROM cells) l, k4)"""
 LEAVE = f"""WITH {MSG}, x AS (SELECT *, product(n) OVER (PARTITION BY parent, role, locus, k) / n AS w FROM m), y AS (SELECT *, w / sum(w) OVER (PARTITION BY sire, dam, role, locus) AS v FROM x) {wide('y', 'sire, dam, role, locus', 'm')}"""
@@ -234,6 +257,41 @@ class Chain:
         return f"w{t}"
 
 
+class Linked(Chain):
+    """The same with inheritance that children's loci share: vectors by individual and
+    locus (table seg0 at first), found anew with every step down."""
+
+    def __init__(self):
+        super().__init__()
+        self.seg = "seg0"
+
+    def _kids(self, t: str, g: int) -> None:
+        super()._kids(t, g)
+        self.parts[-2] = f"c{t} AS MATERIALIZED (SELECT sire, dam, id, locus, a, b, ln(sum(s.w * v)) AS v FROM v{t} v JOIN sk{t} s USING (id, locus, k) GROUP BY ALL)"
+        self.parts.insert(-2, f"sk{t} AS MATERIALIZED (SELECT q.id, q.locus, t.a, t.b, t.k, sum(t.w * q.v) AS w FROM {self.seg} q JOIN ten t ON t.d = q.k WHERE q.id IN (SELECT id FROM ped WHERE gen = {g}) GROUP BY ALL)")
+
+    def down(self, g: int) -> str:
+        got = super().down(g)
+        t = str(self.n)
+        i = next(i for i, x in enumerate(self.parts) if x.startswith(f"a{t} AS"))
+        self.parts[i] = f"a{t} AS MATERIALIZED (SELECT id, locus, s.k, sum(e * s.w) AS v FROM e{t} JOIN sk{t} s USING (id, locus, a, b) GROUP BY id, locus, s.k)"
+        self.parts.append(f"pt{t} AS MATERIALIZED (SELECT e.id, e.locus, t.d AS k, sum(t.w / n.w * e.e * v.v) AS v FROM e{t} e JOIN ten t USING (a, b) JOIN flat n ON n.a = t.a AND n.b = t.b AND n.k = t.k JOIN v{t} v ON v.id = e.id AND v.locus = e.locus AND v.k = t.k GROUP BY ALL)")
+        for name, order in ((f"fw{t}_", range(1, 8)), (f"bw{t}_", range(7, 0, -1))):
+            order = list(order)
+            self.parts.append(f"{name}{order[0]} AS MATERIALIZED (SELECT id, k, 0.25::DOUBLE AS v FROM pt{t} WHERE locus = {order[0]})")
+            for before, at in zip(order, order[1:]):
+                self.parts.append(f"""{name}{at} AS MATERIALIZED (SELECT q.id, k4.k, sum(q.v * {_move('k4.k', 'q.k')}) AS v
+  FROM (SELECT m.id, m.k, m.v * e.v / sum(m.v * e.v) OVER (PARTITION BY m.id) AS v FROM {name}{before} m JOIN pt{t} e ON e.id = m.id AND e.k = m.k AND e.locus = {before}) q, k4,
+       (SELECT rate AS r FROM rate WHERE locus = {min(before, at)}) GROUP BY q.id, k4.k)""")
+        both = " UNION ALL ".join(f"SELECT e.id, e.locus, e.k, e.v * f.v * b.v AS v FROM pt{t} e JOIN fw{t}_{i} f ON f.id = e.id AND f.k = e.k JOIN bw{t}_{i} b ON b.id = e.id AND b.k = e.k WHERE e.locus = {i}" for i in range(1, 8))
+        self.parts += [
+            f"sm{t} AS MATERIALIZED (SELECT id, locus, k, {MIX4.format(x='v / sum(v) OVER (PARTITION BY id, locus)')} AS v FROM ({both}))",
+            f"sg{t} AS MATERIALIZED (SELECT id, locus, k, coalesce(n.v, o.v) AS v FROM {self.seg} o LEFT JOIN sm{t} n USING (id, locus, k))",
+        ]
+        self.seg = f"sg{t}"
+        return got
+
+
 _FLAT = "flat AS MATERIALIZED (SELECT a, b, k, sum(w) / 4 AS w FROM ten GROUP BY a, b, k)"
 _HEAD = f"{BOTH}, {FAM}, {TENSOR_}, {_FLAT}, {START}"
 
@@ -260,7 +318,33 @@ def _cycles(n: int) -> str:
 SELECT id, locus, round(sum(v * CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END), 6) AS dosage FROM fin GROUP BY id, locus"""
 
 
-CYCLES = _cycles(2)
+CYCLE, CYCLES = _cycles(1), _cycles(2)
+_LINKED = f"{_HEAD}, {RATE}, seg0 AS MATERIALIZED (SELECT * FROM ant0)"
+
+
+def _vectors(tables: dict[str, str]) -> str:
+    """One row an individual and locus, columns a0 and so on of each table."""
+    some = [f"SELECT id, locus, '{p}' AS p, k, v FROM {t}" for p, t in tables.items()]
+    got = ", ".join(f"round(max(v) FILTER (p = '{p}' AND k = {i}), 6) AS {p}{i}" for p in tables for i in S_)
+    return f"SELECT id, locus, {got} FROM ({' UNION ALL '.join(some)}) GROUP BY id, locus"
+
+
+def _linked_down() -> str:
+    c = Linked()
+    got = c.down(1)
+    return f"WITH {_LINKED}, {', '.join(c.parts)} SELECT id AS child, * EXCLUDE (id) FROM ({_vectors({'a': got, 's': f'sm{c.n}'})})"
+
+
+def _linked_cycle() -> str:
+    c = Linked()
+    for g in range(1, 5):
+        c.down(g)
+    for g in range(4, 0, -1):
+        c.up(g)
+    return f"WITH {_LINKED}, {', '.join(c.parts)} {_vectors({'a': c.ant, 'q': c.post, 's': c.seg})}"
+
+
+MULTI_DOWN, MULTI_CYCLE = _linked_down(), _linked_cycle()
 _X = """SELECT kind, a::INT AS a, b::INT AS b, k::INT AS k, d::INT AS d, round((CASE kind
   WHEN 'autosome' THEN CASE WHEN CASE WHEN d < 2 THEN a // 2 ELSE a % 2 END = k // 2 AND m THEN 1 ELSE 0 END
   WHEN 'xx' THEN CASE WHEN a % 2 = k // 2 AND m THEN 1 ELSE 0 END ELSE CASE WHEN m THEN 0.5 ELSE 0 END END)::DOUBLE * (1 - 1e-8::DOUBLE) + 1e-8::DOUBLE / 4, 9) AS w
@@ -298,6 +382,7 @@ REBUILD = f"""WITH {READ}, {GENO_ERR}, again AS (SELECT id, cells.locus, k, ({_c
 x AS (SELECT id, locus, k, v / sum(v) OVER (PARTITION BY id, locus) AS v FROM again) {wide('x', 'id, locus', 'p')}"""
 CMP = f"{READ}, cmp AS (SELECT c.id, c.locus, sum(v * CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS est, any_value(g)::DOUBLE AS real FROM cells c JOIN pen ON pen.id = c.id AND pen.locus = c.locus WHERE g <> 9 GROUP BY c.id, c.locus)"
 MARKER = f"WITH {CMP} SELECT locus, round(corr(est, real), 6) AS r FROM cmp GROUP BY locus HAVING r IS NOT NULL AND NOT isnan(r)"
+REPORT = MARKER + " ORDER BY r DESC"
 INDIVIDUAL = f"WITH {CMP} SELECT id, round(corr(est, real), 4) AS r FROM cmp GROUP BY id HAVING count(DISTINCT real) > 1 AND count(DISTINCT round(est, 12)) > 1"
 REALISED = f"""WITH {WITH}, x AS (SELECT locus, g AS real, CASE WHEN ref + alt = 0 THEN 9 ELSE alt % 3 END AS est FROM cells WHERE g <> 9)
 SELECT locus, round(avg(real) / 2, 6) AS freq, round(avg(CASE WHEN est <> 9 THEN CASE WHEN est <> real THEN 1.0 ELSE 0.0 END END), 6) AS error FROM x GROUP BY locus"""

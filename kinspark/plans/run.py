@@ -113,7 +113,18 @@ class Analysis:
         if pheno is not None and n_loci > 1:
             raise ValueError("phenotypes need single-locus genotypes")
         base = P.check_groups(ped.select("id", "sire", "dam", "sex"), o.main_metafounder)
-        base = P.union_ids(base, *[x for x in (geno, hap, seq, pheno) if x is not None])
+        files = {"genotypes": geno, "haplotypes": hap, "reads": seq, "phenotypes": pheno}
+        files = {k: x for k, x in files.items() if x is not None}
+        known = P.union_ids(base, *files.values())
+        #: file, id: individuals that the pedigree has not. Those of penetrance files are ignored, others become unrelated founders.
+        self.strangers = None
+        if (o.ped_file or o.plink_file) and (files or ext is not None):
+            found = ([P.strangers(base, files)] if files else []) + ([P.strangers(known, {"penetrances": ext})] if ext is not None else [])
+            self.strangers = cut(_union(found))
+            for r in self.strangers.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect():  # one row a kind of file
+                what = "they are ignored" if r["file"] == "penetrances" else "they are taken as unrelated founders"
+                warnings.warn(f"{r['n']} individuals in {r['file']} are not in the pedigree, {r['first']} first; {what}", stacklevel=2)
+        base = known
         full = P.with_founders(P.with_dummies(base), o.main_metafounder)
         self.individuals = cut(P.generations(cut(full)))
         self.fams, self.kids = P.families(self.individuals)
@@ -148,13 +159,14 @@ class Analysis:
         if not self.o.alt_allele_prob_file:
             return cut(x.withColumn("p", lit(0.5)))
         given = S.frequencies(self.spark, self.o.alt_allele_prob_file, self.o.start_snp, self.o.stop_snp)
-        for r in given.select("mf").distinct().join(groups, "mf", "left_anti").collect():  # one row a founder group
-            warnings.warn(f"{r['mf']} is not in the pedigree; its frequencies are ignored", stacklevel=2)
+        for r in P.unmatched_groups(given, groups).collect():  # one row a founder group
+            what = "its frequencies are ignored" if r["side"] == "not in the pedigree" else "one half is taken"
+            warnings.warn(f"founder group {r['mf']} is {r['side']}; {what}", stacklevel=2)
         return cut(x.join(given, ["mf", "locus"], "left").withColumn("p", vec.clamp(F.coalesce("p", lit(0.5)), 0.01, 0.99)))
 
     def penetrance(self) -> DataFrame:
         """id, locus, p0..3, genotyped: observations, phenotype, founders' anchors, external."""
-        x = self.data.join(F.broadcast(self.ge), "locus").join(F.broadcast(self.se), "locus")
+        x = self.data.join(self.ge.join(self.se, "locus"), "locus")  # a row a locus: broadcast where small, as the planner sees fit
         if self.pheno is not None:
             x = x.join(likelihood.phenotype_logs(self.pheno, self.table), "id", "left")
         x = likelihood.penetrance(x, self.o.x_chr, self.pheno is not None)
@@ -180,15 +192,17 @@ class Analysis:
         o = self.o
         pen = cut(self.penetrance())
         if o.est_alt_allele_prob:
+            if self.individuals.where("is_founder").select("mf").distinct().limit(2).count() > 1:
+                warnings.warn("frequencies are estimated from all individuals alike, though there are several founder groups", stacklevel=2)
             self.aap = cut(estimate.aap_newton(pen, self.aap))
         flat = {f"{p}{i}": lit(0.25) for p in "aqs" for i in STATES}
         state = self.data.select("id", "locus", "sex").withColumns(flat).join(pen.drop("genotyped"), ["id", "locus"])
         state = state.select("id", "locus", "sex", *cols("a"), *cols("p"), *cols("q"), *cols("s"))
         if o.alt_allele_prob_file or o.est_alt_allele_prob:
-            state = _put(state, self._prior(), "a")
+            state = put(state, self._prior(), "a")
         seg = self._inheritance()
         if seg is not None:
-            state = _put(state, seg, "s")
+            state = put(state, seg, "s")
         rates = None
         if o.method == "multi":
             self.rates = rates = cut(linkage.transmission_rates(self.markers if self.markers is not None else self.loci, o.rec_length))
@@ -201,7 +215,7 @@ class Analysis:
                 self.ge = cut(estimate.genotype_error(seen)) if o.est_geno_error_prob else self.ge
                 self.se = cut(estimate.read_error(seen)) if o.est_seq_error_prob else self.se
                 new = cut(self.penetrance())
-                run.map_state(lambda s, new=new: _put(s, new, "p"))
+                run.map_state(lambda s, new=new: put(s, new, "p"))
             if o.update_pheno_penetrance:
                 if self.pheno is None or self.table is None:
                     warnings.warn("updating the phenotype penetrance needs both phenotype files", stacklevel=2)
@@ -211,7 +225,7 @@ class Analysis:
             if o.update_alt_allele_prob:
                 self.aap = cut(estimate.aap_from_founders(self.probabilities(), self.individuals.where("is_founder")))
                 prior = cut(self._prior())
-                run.map_state(lambda s, prior=prior: _put(s, prior, "a"))
+                run.map_state(lambda s, prior=prior: put(s, prior, "a"))
         return self
 
     def probabilities(self) -> DataFrame:
@@ -255,12 +269,18 @@ class Analysis:
             out["seg_prob.txt"] = sinks.inheritance(self.peeling.state(), self.order)
         return out
 
+    def dump(self, path: str) -> None:
+        """The peeling's whole state, for inspection: tables state and messages under path."""
+        self.peeling.state().write.mode("overwrite").parquet(f"{path}/state")
+        if self.peeling.messages:
+            _union(list(self.peeling.messages.values())).write.mode("overwrite").parquet(f"{path}/messages")
+
     def write(self) -> None:
         for suffix, rows in self.outputs().items():
             sinks.write(rows, f"{self.o.out_file}.{suffix}")
 
 
-def _put(state: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
+def put(state: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
     """State with one vector replaced where new has the individual and locus."""
     x = state.join(new.select("id", "locus", *[F.col(f"{prefix}{i}").alias(f"new{i}") for i in STATES]), ["id", "locus"], "left")
     return x.select(*[F.coalesce(f"new{c[1:]}", c).alias(c) if c[0] == prefix and c[1:].isdigit() else F.col(c) for c in state.columns])

@@ -109,8 +109,9 @@ def inheritance(spark: SparkSession, paths, start=None, stop=None) -> DataFrame:
 def plink(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pedigree, map, genotypes) of prefix.bed, .bim and .fam, variant-major.
 
-    The bed file is cut into records of one variant by Spark's fixed-length reader; two
-    bits a sample: 0 both first alleles, 1 missing, 2 both, 3 none, counted as alternative."""
+    The bed file is read whole by one task, which limits it to 2 GB; larger panels come
+    as text. Two bits a sample: 0 both first alleles, 1 missing, 2 both, 3 none, counted
+    as alternative."""
     fam = lines(spark, prefix + ".fam").withColumn("i", F.row_number().over(Window.orderBy("place")) - 1)
     t = F.col("tokens")
     ped = fam.select(t[1].alias("id"), t[2].alias("sire"), t[3].alias("dam"), F.when(t[4] == "2", 1).otherwise(0).alias("sex"), "place")
@@ -127,6 +128,5 @@ def plink(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def keyed(x: DataFrame, key: Column) -> DataFrame:
-    """Rows of the first appearance of each key, in file order: id, line."""
-    y = x.groupBy(key.alias("id")).agg(F.min("place").alias("place"))
-    return y.withColumn("line", F.row_number().over(Window.orderBy("place")).cast("long")).drop("place")
+    """Each key with the place of its first appearance, which orders as the file does: id, line."""
+    return x.groupBy(key.alias("id")).agg(F.min("place").alias("line"))

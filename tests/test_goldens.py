@@ -108,3 +108,60 @@ def test_sex_chromosome(spark, tmp_path):
     a = Analysis(spark, Options(method="single", n_cycle=2, geno=True, hap=True, x_chr=True, **f)).run()
     assert lines(a, "geno_0.3333333333333333.txt")[2:] == ["X 0", "Y 1"]
     assert lines(a, "hap_0.5.txt")[4:] == ["X 9", "X 0", "Y 1", "Y 0"]
+
+
+def unrelated(tmp_path):
+    """Individuals known from one kind of file each, with the same genotype at five loci."""
+    row = lambda i, *vs: "".join(f"{i} {' '.join([str(v)] * 5)}\n" for v in vs)
+    states = ("aa", "aA", "Aa", "AA")
+    files = {
+        "geno_file": "".join(row(f"geno{g}", g) for g in range(3)),
+        "hap_file": "".join(row(f"hap{s}", *("01"[c == "A"] for c in s)) for s in states),
+        "seq_file": "".join(row(f"seq{g}", r, a) for g, (r, a) in enumerate(((10, 0), (10, 10), (0, 10)))),
+        "penetrance": "".join(row(f"pen{s}", *(int(s == x) for x in states)) for s in states),
+        "ped_file": "".join(f"pen{s} 0 0\n" for s in states),
+    }
+    want = {f"geno{g}": g for g in range(3)} | {f"seq{g}": g for g in range(3)} | {k + s: s.count("A") for k in ("hap", "pen") for s in states}
+    return write(tmp_path, **files), want
+
+
+def test_every_kind_of_file(spark, tmp_path):
+    f, want = unrelated(tmp_path)
+    with pytest.warns(UserWarning, match="not in the pedigree"):
+        a = Analysis(spark, Options(method="multi", geno=True, geno_threshold=[0.1], est_geno_error_prob=True, est_seq_error_prob=True, seg_prob=True, **f)).run()
+    assert sorted(lines(a, "geno_0.3333333333333333.txt")) == sorted(f"{i} {' '.join([str(g)] * 5)}" for i, g in want.items())
+    assert {(r["file"], r["id"]) for r in a.strangers.collect()} == {({"geno": "genotypes", "hap": "haplotypes", "seq": "reads"}[k], i) for i in want for k in ("geno", "hap", "seq") if i.startswith(k)}
+
+
+def test_window_of_every_kind_of_file(spark, tmp_path):
+    f, want = unrelated(tmp_path)
+    a = Analysis(spark, Options(method="multi", geno=True, geno_threshold=[0.1], start_snp=2, stop_snp=4, n_cycle=1, **f)).run()
+    assert sorted(lines(a, "geno_0.3333333333333333.txt")) == sorted(f"{i} {g} {g} {g}" for i, g in want.items())
+
+
+def test_frequencies_of_founder_groups(spark, tmp_path):
+    f = write(tmp_path, ped_file="M0 MF_1 MF_1\nF0 MF_2 MF_2\n", geno_file="M0 0 0\nF0 2 2\n")
+    a = Analysis(spark, Options(method="multi", update_alt_allele_prob=True, alt_allele_prob=True, **f)).run()
+    assert lines(a, "alt_allele_prob.txt") == ["MF_1\tMF_2", "0.01\t0.99", "0.01\t0.99"]
+    b = Analysis(spark, Options(method="multi", n_cycle=1, est_alt_allele_prob=True, **f))
+    with pytest.warns(UserWarning, match="several founder groups"):
+        b.run()
+
+
+#: Calls on X with recombination and gaps, and what they should give.
+X_PED = "fm 0 0 1\nff 0 0 0\nmm 0 0 1\nmf 0 0 0\nf ff fm 0\nm mf mm 1\npfem1 f m 1\npfem2 f m 1\npfem3 f m 1\npmal1 f m 0\npmal2 f m 0\npmal3 f m 0\n"
+X_CALLS = {"fm": "111111", "ff": "000000", "mm": "000000", "mf": "111111", "f": "199900", "m": "111991", "pfem1": "222111", "pfem2": "111099", "pfem3": "222090", "pmal1": "099000", "pmal2": "111111", "pmal3": "991000"}
+X_TRUE = X_CALLS | {"f": "111000", "m": "111111", "pfem2": "111000", "pfem3": "222000", "pmal1": "000000", "pmal3": "111000"}
+X_HAPS = {"f": ("999999", "111000"), "ff": ("999999", "000000"), "fm": ("000111", "111000"), "m": ("111111", "000000"), "mf": ("999999", "111111"), "mm": ("000000", "000000"), "pfem1": ("111000", "111111"), "pfem2": ("111000", "000000"), "pfem3": ("111000", "111000"), "pmal1": ("999999", "000000"), "pmal2": ("999999", "111111"), "pmal3": ("999999", "111000")}
+
+
+def test_sex_chromosome_with_recombination(spark, tmp_path):
+    """At most two wrong genotypes and five wrong alleles."""
+    f = write(tmp_path, ped_file=X_PED, geno_file="".join(f"{i} {' '.join(c)}\n" for i, c in X_CALLS.items()))
+    a = Analysis(spark, Options(method="multi", n_cycle=3, geno=True, hap=True, x_chr=True, **f)).run()
+    geno = {x.split()[0]: "".join(x.split()[1:]) for x in lines(a, "geno_0.3333333333333333.txt")}
+    assert sum(x != y for i in X_TRUE for x, y in zip(geno[i], X_TRUE[i], strict=True)) <= 2
+    haps: dict = {}
+    for x in lines(a, "hap_0.5.txt"):
+        haps.setdefault(x.split()[0], []).append("".join(x.split()[1:]))
+    assert sum(x != y for i in X_HAPS for h, t in zip(haps[i], X_HAPS[i], strict=True) for x, y in zip(h, t, strict=True)) <= 5
