@@ -40,7 +40,7 @@ from kinspark.session import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTEXT, STRIDE, WIDTH, CLASSES, FINE = 24, 18, 16, 64, 512
-TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_500, 60_000, 500, 512
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH = 1_500, 60_000, 1_000, 256
 #: The step of the pass over all documents; weights are summed as whole multiples of 1 / FIXED.
 RATE, FIXED = 0.004, 1 << 24
 FREQUENT = 120_000
@@ -190,11 +190,6 @@ def forward(w: dict, x: np.ndarray) -> tuple:
     return logits, (h, q, k, v, a, o, z, r)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def backward(w: dict, x: np.ndarray, kept: tuple, g: np.ndarray) -> dict:
     """Gradients of the weights for gradient g of the logits."""
     h, q, k, v, a, o, z, r = kept
@@ -234,7 +229,9 @@ class Adam:
         self.step += 1
         logits, kept = forward(w, x)
         live = by >= 0
-        g = np.exp(log_softmax(logits))
+        logits -= logits.max(axis=1, keepdims=True)
+        g = np.exp(logits, out=logits)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.flatnonzero(live), target[by[live]]] -= 1
         g *= (live / max(1, live.sum()))[:, None].astype(np.float32)
         for k, d in backward(w, x, kept, g).items():
