@@ -48,8 +48,9 @@ def forward_backward(points: DataFrame, rates: DataFrame) -> DataFrame:
     """child, locus, s0..3 from e0..3. The recursion normalises at every locus, which no
     window frame expresses; children are smoothed many at a time in Arrow batches."""
     rows = points.groupBy("child").agg(F.sort_array(F.collect_list(F.struct("locus", *vec.cols("e")))).alias("r"))
-    steps = rates.select(F.sort_array(F.collect_list(F.struct("locus", "rate"))).alias("k")).select(F.transform("k", lambda k: k["rate"]).alias("rates"))
-    rows = rows.select("child", F.transform("r", lambda r: r["locus"]).alias("loci"), F.flatten(F.transform("r", lambda r: F.array(*[r[f"e{i}"] for i in range(4)]))).alias("e")).join(F.broadcast(steps), F.lit(True))  # one row
+    steps = np.array([r["rate"] for r in rates.orderBy("locus").collect()])  # one number a locus
+    shared = points.sparkSession.sparkContext.broadcast(steps)
+    rows = rows.select("child", F.transform("r", lambda r: r["locus"]).alias("loci"), F.flatten(F.transform("r", lambda r: F.array(*[r[f"e{i}"] for i in range(4)]))).alias("e"))
 
     def run(batches):
         for b in batches:
@@ -57,7 +58,7 @@ def forward_backward(points: DataFrame, rates: DataFrame) -> DataFrame:
             for n in b["e"].map(len).unique():
                 at = np.flatnonzero(b["e"].map(len).to_numpy() == n)
                 e = np.stack(b["e"].iloc[at].to_list()).reshape(len(at), n // 4, 4)
-                for i, s in zip(at, smooth(e, np.asarray(b["rates"].iloc[at[0]]))):
+                for i, s in zip(at, smooth(e, shared.value)):
                     out[i] = s.ravel()
             yield b[["child", "loci"]].assign(s=out)
 
