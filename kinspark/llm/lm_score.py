@@ -296,7 +296,7 @@ def _gather(ids, at, lists, end):
     order = [i for ws in lists for i in (*(at[w] for w in ws), len(ids) - 1)]
     flat = np.fromiter((i for k in order for i in ids[k]), np.int32)
     sizes = [sum(len(ids[at[w]]) for w in ws) + 1 for ws in lists]
-    return flat, np.concatenate([[0], np.cumsum(sizes)])
+    return flat, np.cumsum([0, *sizes])
 
 
 def _encoded(batches, shared):
