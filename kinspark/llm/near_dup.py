@@ -144,7 +144,8 @@ def _shared_differences(members: DataFrame, docs: DataFrame, base: DataFrame, k:
     w(z) <= (100 - least) |hub|. So a member that isn't (a far one) shares with any
     partner y more than w(y) / (100 + least) of D(y): one of y's rarest that remain
     when so many are left out is among them. Those rarest are joined to the far ones'
-    differences, of which the commonest are left out by the same bound."""
+    differences, of which the commonest are left out by the same bound. Both lists are
+    in the same order, so a pair's first common shingle tells how many may follow."""
     x = _both(members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"), "root", "n"), docs, base, k)
     x = x.select("u", "v", "root", "n", F.size("a").alias("core"), F.array_except("b", "a").alias("plus"), F.array_except("a", "b").alias("minus"))
     x = x.withColumn("w", (least * F.size("plus") + 100 * F.size("minus")).cast("long")).withColumn("over", F.col("w") - (100 - least) * F.col("core"))
@@ -156,10 +157,11 @@ def _shared_differences(members: DataFrame, docs: DataFrame, base: DataFrame, k:
     full = 100 + least
     own = F.size("d") - F.floor(F.col("w") / full)
     far = F.size("d") - F.greatest(F.lit(1), F.ceil(F.col("over") / full)) + 1
-    rare = lambda y, n: y.where(n > 0).select("u", "v", "root", "n", F.explode(F.slice("d", F.lit(1), n.cast("int"))["t"]).alias("t"))
-    left = rare(ranked.where("over > 0"), far).select("u", "t", F.col("v").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    right = rare(ranked, own).select("u", "t", F.col("v").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
-    apart = F.expr(f"rx <> ry and 100 * least(nx, ny) >= {least} * greatest(nx, ny)")
+    rare = lambda y, n: y.where(n > 0).select("u", "v", "root", "n", "w", "over", F.size("d").alias("size"), F.posexplode(F.slice("d", F.lit(1), n.cast("int"))["t"]).alias("at", "t"))
+    side = lambda y, n, s: rare(y, n).select("u", "t", F.col("v").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("w").alias(f"w{s}"), F.col("over").alias(f"o{s}"), (F.col("size") - F.col("at")).alias(f"rest{s}"))
+    left, right = side(ranked.where("over > 0"), far, "x"), side(ranked, own, "y")
+    # From its first common shingle on, no pair has more in common than the shorter rest.
+    apart = F.expr(f"rx <> ry and 100 * least(nx, ny) >= {least} * greatest(nx, ny) and {full} * least(restx, resty) >= wx + oy")
     return left.join(right, (left["u"] == right["u"]) & (left["t"] == right["t"]) & apart).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
