@@ -263,13 +263,23 @@ def dictionary(coded: DataFrame, v: Vocabulary, most: int) -> Known:
     if least is None:
         return Known(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, wide), whole)
     got = coded.where(step >= least).select("key", "ids").mapInArrow(tidy(_packed), "prints binary, sizes binary, ids binary").toLocalIterator()
-    parts = [(np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["ids"], np.int32).astype(wide)) for r in got]
-    prints, sizes, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.argsort(prints, kind="stable")
-    begin = np.cumsum(sizes, dtype=np.int64) - sizes
-    flat = ids[_ranges(begin[order], sizes[order])]
-    return Known(prints[order], np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32), flat, whole)
+    parts: tuple[list, list, list] = ([], [], [])
+    for r in got:
+        for part, name, kind, stored_as in zip(parts, ("prints", "sizes", "ids"), (np.uint64, np.int32, np.int32), (np.uint64, np.uint32, wide), strict=True):
+            part.append(np.frombuffer(r[name], kind).astype(stored_as))
+    prints, sizes, ids = (np.concatenate(x) for x in parts)
+    for part in parts:
+        part.clear()
+    order = np.argsort(prints, kind="stable").astype(np.uint32)
+    prints = prints[order]
+    begin = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)[order]
+    sizes = sizes[order]
+    flat, step, at = np.empty_like(ids), 100_000, 0  # some words at a time, for the driver's memory
+    for a in range(0, len(order), step):
+        some = ids[_ranges(begin[a : a + step], sizes[a : a + step])]
+        flat[at : at + len(some)] = some
+        at += len(some)
+    return Known(prints, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.uint32), flat, whole)
 
 
 def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
