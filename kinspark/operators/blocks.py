@@ -2,18 +2,24 @@
 
 Without linkage, loci never meet: rows are shuffled once, by locus, and each task
 runs every cycle over one locus's individuals as arrays. It needs memory in
-proportion to the pedigree (about 300 bytes an individual), not to the number of
-loci; pedigrees beyond that take the joins of peeling.Peeling, which gives the
-same values.
+proportion to the pedigree, not to the number of loci: cycles() does so up to MOST
+individuals and takes the joins of peeling.Peeling beyond, which give the same values.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinspark.functions import vec
-from kinspark.functions.vec import EPS
+from kinspark.functions.vec import EPS, STATES, cols
+from kinspark.operators import likelihood, peeling
+from kinspark.operators.pedigree import families
+from kinspark.session import cut
+
+#: Individuals of a locus that one task holds.
+MOST = 50_000
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -36,15 +42,17 @@ def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def peel(gen, kids, fam, sire, dam, pen, ant, seg, tensors, cycles: int):
+def peel(gen, kids, fam, sire, dam, pen, ant, seg, tensors, kind, cycles: int):
     """Anterior and posterior after so many cycles. gen: of each family; kids, fam:
-    individual and family of each child; sire, dam: individuals; tensors: of each child."""
+    individual and family of each child; sire, dam: individuals; kind: the tensor of each child."""
     n, f = len(pen), len(sire)
     post = np.full((n, 4), 0.25)
     back = {"s": np.full((f, 4), 0.25), "d": np.full((f, 4), 0.25)}  # less the family itself
     said = {"s": np.full((f, 4), 0.25), "d": np.full((f, 4), 0.25)}
     ant = ant.copy()
-    ks = np.einsum("cabkd,cd->cabk", tensors, _norm(seg[kids])) if len(kids) else np.zeros((0, 4, 4, 4))
+    ks = np.zeros((len(kids), 4, 4, 4))
+    for i, tensor in enumerate(tensors):
+        ks[kind == i] = np.einsum("abkd,cd->cabk", tensor, _norm(seg[kids[kind == i]]))
 
     def terms(g):
         at = np.flatnonzero(gen == g)
@@ -96,8 +104,8 @@ def single_locus(rows: DataFrame, cycles: int, mutation: float = 1e-8, x_chromos
         sire = np.array([ids[s] for s, _ in heads], int)
         dam = np.array([ids[d] for _, d in heads], int)
         get = lambda p: pdf[[f"{p}{i}" for i in range(4)]].to_numpy(float)
-        tensors = np.stack(kinds)[(pdf["sex"].to_numpy()[child] != 0).astype(int)]
-        ant, post = peel(gen, child, fam, sire, dam, get("p"), get("a"), get("s"), tensors, cycles)
+        kind = (pdf["sex"].to_numpy()[child] != 0).astype(int)
+        ant, post = peel(gen, child, fam, sire, dam, get("p"), get("a"), get("s"), kinds, kind, cycles)
         x = _norm(ant * post * get("p"))
         out = pdf[["id", "locus"]].copy()
         for i in range(4):
@@ -106,3 +114,16 @@ def single_locus(rows: DataFrame, cycles: int, mutation: float = 1e-8, x_chromos
 
     kind = dict(rows.dtypes)
     return rows.groupBy("locus").applyInPandas(one, f"id {kind['id']}, locus {kind['locus']}, x0 double, x1 double, x2 double, x3 double")
+
+
+def cycles(rows: DataFrame, n: int, mutation: float = 1e-8, x_chromosome: bool = False, most: int = MOST) -> DataFrame:
+    """single_locus(), or for pedigrees of more than most individuals the same by joins."""
+    people = cut(rows.select("id", "gen", "sex", "sire", "dam").distinct())
+    if people.count() <= most:
+        return single_locus(rows, n, mutation, x_chromosome)
+    fams, kids = families(people.withColumn("is_founder", F.col("sire").isNull()))
+    state = rows.select("id", "locus", "sex", *cols("a"), *cols("p"), *[vec.lit(0.25).alias(f"q{i}") for i in STATES], *cols("s"))
+    loop = peeling.Peeling(people.select("id", "gen"), fams, kids, state, peeling.first_messages(fams, rows.select("locus").distinct()), peeling.Model(mutation, x_chromosome))
+    for _ in range(n):
+        loop.cycle()
+    return likelihood.genotype_probability(loop.state()).drop("sex")

@@ -607,9 +607,9 @@ def peeling_cycle(spark, d):
 
 @query("single_locus_2cycles", O.CYCLES)
 def single_locus_2cycles(spark, d):
-    """Two cycles with a locus's whole pedigree in one task, for pedigrees that fit."""
+    """Two cycles, with a locus's whole pedigree in one task where that fits, else by joins."""
     rows = first_state(spark, d).join(B.pedigree(spark, d).select("id", "gen", "sire", "dam"), "id")
-    return _dosages(blocks.single_locus(rows, 2))
+    return _dosages(blocks.cycles(rows, 2))
 
 
 @query("analysis_single", O.CYCLE)

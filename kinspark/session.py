@@ -41,7 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     where = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return _sized(df.checkpoint(eager=True))
+
+
+def _sized(kept: DataFrame) -> DataFrame:
+    """A checkpoint keeps the estimate of its plan's size, for joins the product of their
+    sides: over many steps a number of millions of digits. Beyond what a long holds the
+    rows go on without one, which is as good."""
+    plan = kept._jdf.queryExecution().logical()
+    if "E+" not in plan.stats().simpleString():  # so written from 2^71 bytes on
+        return kept
+    spark, jvm = kept.sparkSession, kept.sparkSession._jvm
+    none = jvm.scala.Option.empty()
+    plain = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -184,3 +184,27 @@ def test_peeling_reads_only_the_generations_it_needs(spark):
     got = {(r["id"], r["locus"]): [r[f"x{k}"] for k in range(4)] for r in likelihood.genotype_probability(loop.state()).collect()}
     want = {(r["id"], r["locus"]): [r[f"x{k}"] for k in range(4)] for r in blocks.single_locus(x, 1).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
+def test_cycles_beyond_one_task(spark):
+    """Two cycles by joins, for a pedigree said to be too large for a task, equal those in one task."""
+    from kinspark.operators import blocks
+
+    ped = [(0, 0, 0, None, None), (1, 0, 1, None, None), (2, 0, 1, None, None), (3, 1, 0, 0, 1), (4, 1, 1, 0, 1), (5, 1, 1, 0, 2), (6, 2, 0, 3, 5), (7, 2, 1, 3, 4)]
+    r = np.random.default_rng(4)
+    rows = [(who, at, g, sex, sire, dam, *[0.25] * 4, *map(float, r.dirichlet(np.ones(4))), *[0.25] * 4) for who, g, sex, sire, dam in ped for at in (1, 2)]
+    names = ", ".join(f"{x}{k} double" for x in "aps" for k in range(4))
+    x = spark.createDataFrame(rows, f"id long, locus int, gen int, sex int, sire long, dam long, {names}")
+    for on_x in (False, True):
+        got, want = ({(r["id"], r["locus"]): [r[f"x{k}"] for k in range(4)] for r in blocks.cycles(x, 2, x_chromosome=on_x, most=m).collect()} for m in (7, 8))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
+def test_checkpoints_bound_the_estimated_size(spark):
+    from kinspark.session import cut
+
+    x = spark.range(10).select("id")
+    for _ in range(9):
+        x = cut(x.join(x, "id").join(x, "id"))
+    assert "E+" not in x._jdf.queryExecution().logical().stats().simpleString()
+    assert sorted(r["id"] for r in x.collect()) == list(range(10))
