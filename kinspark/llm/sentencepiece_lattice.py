@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.llm.workers import tidy
+from kinspark.llm.workers import short_batches, tidy
 from kinspark.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -367,6 +367,7 @@ def encode(docs: DataFrame, v: Vocabulary | None = None, text: str = "text", dec
     """docs with ids, an array of piece ids per text; decoded: also the text they give
     back; most: bytes of the broadcast dictionary."""
     v = v or load()
+    short_batches(docs.sparkSession)
     coded = coded_words(docs.select(text), v)
     words = dictionary(coded, v, most)
     known = docs.sparkSession.sparkContext.broadcast(words)

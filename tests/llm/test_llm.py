@@ -485,3 +485,18 @@ def test_chat(spark):
     assert not got[1]["valid"] and not got[2]["valid"]
     assert {r["conv_id"]: r["loss_chars"] for r in chat.report(conv).collect()}[3] == 4
     assert chat.report(conv.limit(0)).count() == 0
+
+
+def test_sentencepiece_bounds_the_bytes_of_a_batch(spark):
+    from kinspark.llm import sentencepiece_lattice
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("concat('some words ', repeat('and more ', 800), id)").alias("text"))
+    assert sentencepiece_lattice.encode(docs).count() == 3000
+    got = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 20_000_000 and max(got) < 5_000_000
