@@ -165,6 +165,8 @@ def windows(ids: np.ndarray, at: np.ndarray, fine: np.ndarray) -> tuple[np.ndarr
 _LATE = np.arange(CONTEXT - STRIDE, CONTEXT)
 _CAUSAL = np.where(np.arange(CONTEXT)[None, :] <= _LATE[:, None], 0, -1e9).astype(np.float32)
 
+_ONES = np.ones(CLASSES, np.float32)
+
 
 def forward(w: dict, x: np.ndarray) -> tuple:
     """Logits of the last STRIDE positions, and what backward() needs. Masked
@@ -178,9 +180,11 @@ def forward(w: dict, x: np.ndarray) -> tuple:
     padded = np.flatnonzero((x[:, 0] == FINE + 1) | (x[:, -1] == FINE + 1))
     if len(padded):
         s[padded] += np.where(x[padded] == FINE + 1, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+        s[padded] -= s[padded].max(axis=2, keepdims=True)  # a position of padding sees nothing at all
+    if max(s.max(initial=0), -s.diagonal(CONTEXT - STRIDE, 1, 2).min(initial=0)) > 60:
+        s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (a @ _ONES[:CONTEXT])[:, :, None]
     o = a @ v
     z = late + (o.reshape(-1, WIDTH) @ w["out"]).reshape(o.shape)
     r = np.maximum(z, 0)
@@ -194,7 +198,7 @@ def backward(w: dict, x: np.ndarray, kept: tuple, g: np.ndarray) -> dict:
     """Gradients of the weights for gradient g of the logits."""
     h, q, k, v, a, o, z, r = kept
     d: dict[str, np.ndarray] = {}
-    d["class"] = np.concatenate([z, r], axis=2).reshape(-1, 2 * WIDTH).T @ g
+    d["class"] = np.concatenate([z.reshape(-1, WIDTH).T @ g, r.reshape(-1, WIDTH).T @ g])
     d["bias"] = g.sum(axis=0)
     both = (g @ w["class"].T).reshape(*z.shape[:2], 2 * WIDTH)
     dz = both[..., :WIDTH] + both[..., WIDTH:] * (z > 0)
@@ -229,11 +233,13 @@ class Adam:
         self.step += 1
         logits, kept = forward(w, x)
         live = by >= 0
-        logits -= logits.max(axis=1, keepdims=True)
+        if max(logits.max(initial=0), -logits.min(initial=0)) > 60:  # else no exponential leaves 32-bit floats
+            logits -= logits.max(axis=1, keepdims=True)
         g = np.exp(logits, out=logits)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.flatnonzero(live), target[by[live]]] -= 1
-        g *= (live / max(1, live.sum()))[:, None].astype(np.float32)
+        share = live / np.float32(max(1, live.sum()))
+        g *= (share / (g @ _ONES))[:, None].astype(np.float32)
+        at = np.flatnonzero(live)
+        g[at, target[by[at]]] -= share[at].astype(np.float32)
         for k, d in backward(w, x, kept, g).items():
             self.m1[k] = 0.9 * self.m1[k] + 0.1 * d
             self.m2[k] = 0.98 * self.m2[k] + 0.02 * d * d
@@ -268,10 +274,10 @@ def log10_probability(model: Model, ids: np.ndarray, at: np.ndarray, step: int =
         logits, _ = forward(model.weights, x[a : a + step])
         by = y[a : a + step].ravel()
         live = np.flatnonzero(by >= 0)
-        if np.abs(logits).max(initial=0) > 60:  # else no exponential leaves 32-bit floats
+        if max(logits.max(initial=0), -logits.min(initial=0)) > 60:  # else no exponential leaves 32-bit floats
             logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[live, target[by[live]]]
-        total = np.log(np.exp(logits, out=logits).sum(axis=1))
+        total = np.log(np.exp(logits, out=logits) @ _ONES)
         got = chosen - total[live]
         of = np.repeat(doc[a : a + step], STRIDE)[live]
         low = of[0] if len(of) else 0
@@ -337,6 +343,20 @@ def _encoded(batches, shared):
             a += len(rows)
 
 
+def _regrouped(batches, rows: int = 10_000):
+    """The same rows in batches of so many, however the session cuts them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        while len(b):
+            held.append(b.slice(0, rows - sum(map(len, held))))
+            b = b.slice(len(held[-1]))
+            if sum(map(len, held)) == rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _learn(shared, first):
     """Goes on from the first fit over all windows of the task's texts: rows of
     (place, sum), the weights times the number of windows; place -1 is that number."""
@@ -345,7 +365,7 @@ def _learn(shared, first):
         model = first.value
         fit = Adam({k: v.copy() for k, v in model.weights.items()})
         draw, seen = np.random.default_rng(11), 0
-        for _, _, _, _, _, _, ids, at in _encoded(batches, shared):
+        for _, _, _, _, _, _, ids, at in _encoded(_regrouped(batches), shared):
             x, y, _ = windows(ids, at, model.fine)
             order, target = draw.permutation(len(x)), model.cls[ids]
             for part in np.array_split(order, -(-len(order) // BATCH)):

@@ -500,3 +500,15 @@ def test_sentencepiece_bounds_the_bytes_of_a_batch(spark):
     assert sentencepiece_lattice.encode(docs).count() == 3000
     got = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
     assert sum(got) > 20_000_000 and max(got) < 5_000_000
+
+
+def test_lm_does_not_depend_on_arrow_batches(spark):
+    rows = [(i, " ".join(words(300, i, 200))) for i in range(40)]
+    key, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for most in ("10000", "7"):
+        spark.conf.set(key, most)
+        try:
+            got.append({r["doc_id"]: r["score"] for r in lm_score.report(docs(spark, rows)).collect()})
+        finally:
+            spark.conf.unset(key)
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-3 for k in got[0])
